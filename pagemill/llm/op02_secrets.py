@@ -81,7 +81,7 @@ def candidates(docs: DataFrame, text: str, doc: str, rules=RULES) -> DataFrame:
     # the query side is the fixed rule set: a literal that each posting looks itself up in
     pair = "array<struct<r:int,c:int>>"
     lists = F.array(*(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ask)).cast(pair) for ask in asks))
-    hits = postings(docs, text, doc, rules).select(doc, F.explode(F.element_at(lists, F.col("gram") + 1)).alias("q")).groupBy(doc, "q").agg(F.count_distinct("gram").alias("n"))
+    hits = postings(docs, text, doc, rules).select(doc, "gram", F.explode(F.element_at(lists, F.col("gram") + 1)).alias("q")).groupBy(doc, "q").agg(F.count_distinct("gram").alias("n"))
     need = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(len(g)).alias("n")) for r, c, g in wanted))
     passed = hits.filter(F.exists(need, lambda w: (w["r"] == F.col("q")["r"]) & (w["c"] == F.col("q")["c"]) & (F.col("n") >= w["n"])))
     return passed.groupBy(doc).agg(F.collect_set(F.col("q")["r"]).alias(HIDE + "rules"))

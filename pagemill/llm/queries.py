@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pagemill.llm import op01_mixing, op02_secrets, op06_exact_dedup
+from pagemill.llm import op01_mixing, op02_secrets, op03_quality, op04_media, op05_packing, op06_exact_dedup, op07_pages, op10_licences
 
 QUERIES = {
     "op1_mixing": op01_mixing.query,
     "op2_secrets": op02_secrets.query,
+    "op3_quality": op03_quality.query,
+    "op4_media": op04_media.query,
+    "op5_packing": op05_packing.query,
     "op6_exact_dedup": op06_exact_dedup.query,
+    "op7_pages": op07_pages.query,
+    "op10_licences": op10_licences.query,
 }
 ORACLES = {
     "op6_exact_dedup": op06_exact_dedup.SQL,
