@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its words and of their character
-n-grams (hashed into buckets); a softmax layer turns the average into classes.
+A document is the average of learned vectors of its words, of their character
+n-grams (hashed into buckets) and of two tokens that mark repetition; a softmax
+layer turns the average into classes.
 Training is stochastic gradient descent in numpy, on the driver, over a bounded
 sample of the labelled rows: ``SAMPLE`` documents, those with the smallest hash of
 their id. Scoring reads every whole text; since the output is linear in the
@@ -27,13 +28,15 @@ from pagemill.llm.common import HIDE, table
 
 #: The most labelled documents that training reads.
 SAMPLE = 6000
-BUCKETS, DIMS, EPOCHS, BATCH, RATE = 1 << 18, 8, 8, 16, 2.0
+BUCKETS, DIMS, EPOCHS, BATCH, RATE = 1 << 18, 8, 6, 16, 10.0
 SIZES = (3, 4, 5)
+#: Two more tokens with vectors of their own: a word that repeats the one before, and words that begin a repeated run of RUN words.
+MARKS, RUN = 2, 4
 THRESHOLD, SEED = 0.3, 7
 
 
-def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word and its character n-grams (bytes, with marks for the word's ends), and how many each word has."""
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and its character n-grams (bytes, with marks for the word's ends), and how many each word has; ``whole`` has the words' hashes."""
     n = ends - starts
     # each word as <word>, one after the other
     size = n + 2
@@ -44,7 +47,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     body[at[:-1]], body[at[1:] - 1] = 60, 62
     owner = np.repeat(np.arange(len(n)), size)
     end = at[1:][owner]
-    whole = (words.hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
+    whole = (whole % np.uint64(BUCKETS)).astype(np.int64)
     found, owners = [whole], [np.arange(len(n))]
     wide = body.astype(np.uint64)
     for k in SIZES:
@@ -60,13 +63,39 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def _parts(texts: pa.Array):
-    """Distinct words of the texts with their features, which distinct word each word is, and where texts begin."""
+    """Distinct words of the texts with their features, which distinct word each word is, where texts begin, and their marks."""
     data, offsets = words.raw(texts)
     starts, ends = words.bounds(data, offsets)
     h = words.hashes(data, starts, ends)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    ids, counts = features(data, starts[first], ends[first])
-    return ids, counts, which, np.searchsorted(starts, offsets)
+    distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+    ids, counts = features(data, starts[first], ends[first], distinct)
+    place = np.searchsorted(starts, offsets)
+    marks = np.zeros((len(texts), MARKS), np.int64)
+    gram = words.grams(h, RUN)
+    same = np.concatenate([[0, 0], np.cumsum(h[1:] == h[:-1])]) if len(h) else np.zeros(1, np.int64)
+    for d, (a, b) in enumerate(zip(place[:-1].tolist(), place[1:].tolist(), strict=True)):
+        if b - a > 1:
+            marks[d, 0] = same[b] - same[a + 1]
+        if b - a > RUN:
+            run = np.sort(gram[a : b - RUN + 1])
+            marks[d, 1] = (run[1:] == run[:-1]).sum()
+    return ids, counts, which, place, marks
+
+
+def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct buckets and their shares."""
+    ids, counts, which, place, marks = _parts(texts)
+    ends = np.cumsum(counts)
+    out = []
+    for d, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True)):
+        word, times = np.unique(which[a:b], return_counts=True)
+        own = [ids[ends[w] - counts[w] : ends[w]] for w in word]
+        flat = np.concatenate([*own, np.arange(BUCKETS, BUCKETS + MARKS)])
+        weight = np.concatenate([np.repeat(times, counts[word]), marks[d]])
+        bucket, inverse = np.unique(flat, return_inverse=True)
+        share = np.bincount(inverse, weight, minlength=len(bucket))
+        out.append((bucket, (share / max(1.0, share.sum())).astype(np.float32)))
+    return out
 
 
 @dataclass
@@ -77,29 +106,30 @@ class Model:
     bias: float
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        ids, counts, which, place = _parts(texts)
+        ids, counts, which, place, marks = _parts(texts)
         total = np.concatenate([[0.0], np.cumsum(self.weight[ids], dtype=np.float64)])
         ends = np.cumsum(counts)
         of_word = total[ends] - total[ends - counts]
         run = np.concatenate([[0.0], np.cumsum(of_word[which])])
         number = np.concatenate([[0], np.cumsum(counts[which])])
-        n = number[place[1:]] - number[place[:-1]]
-        return (run[place[1:]] - run[place[:-1]]) / np.maximum(n, 1) + self.bias
+        n = number[place[1:]] - number[place[:-1]] + marks.sum(axis=1)
+        whole = run[place[1:]] - run[place[:-1]] + marks @ self.weight[BUCKETS:].astype(np.float64)
+        return whole / np.maximum(n, 1) + self.bias
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = SEED) -> Model:
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = SEED) -> Model:
     """SGD over (buckets, shares) of documents with labels 0 and 1."""
     rng = np.random.default_rng(seed)
-    embed = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
+    embed = rng.uniform(-1, 1, (BUCKETS + MARKS, DIMS)).astype(np.float32)
     out, bias = np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32)
-    steps, step = max(1, EPOCHS * -(-len(bags) // BATCH)), 0
+    steps, step = max(1, EPOCHS * -(-len(docs) // BATCH)), 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(docs))
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             rate = np.float32(RATE * (1 - step / steps))
             step += 1
-            hidden = np.stack([bags[d][1] @ embed[bags[d][0]] for d in pick])
+            hidden = np.stack([docs[d][1] @ embed[docs[d][0]] for d in pick])
             logit = hidden @ out + bias
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -109,7 +139,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
             bias -= rate / len(pick) * p.sum(axis=0)
             for d, g in zip(pick, back, strict=True):
                 # buckets of one document are distinct
-                embed[bags[d][0]] -= (rate * bags[d][1])[:, None] * g
+                embed[docs[d][0]] -= (rate * docs[d][1])[:, None] * g
     return Model(embed @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
@@ -119,27 +149,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(HIDE + "id"))
     chosen = chosen.agg((F.avg(label) >= 0.5).cast("int").alias(lab)).withColumn(rank, F.xxhash64(HIDE + "id")).orderBy(rank, HIDE + "id").limit(sample)
 
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in words.slices(whole, 2):
-                ids, counts, which, place = _parts(batch.column(2))
-                ends = np.cumsum(counts)
-                rows = []
-                for a, b in zip(place[:-1], place[1:], strict=True):
-                    word, times = np.unique(which[a:b], return_counts=True)
-                    own = [ids[ends[w] - counts[w] : ends[w]] for w in word]
-                    flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-                    bucket, inverse = np.unique(flat, return_inverse=True)
-                    weight = np.bincount(inverse, np.repeat(times, counts[word]), minlength=len(bucket)) if len(flat) else np.zeros(0)
-                    rows.append((bucket.astype("<u4").tobytes(), (weight / max(1.0, weight.sum())).astype("<f4").tobytes()))
+                rows = [(ids.astype("<u4").tobytes(), shares.astype("<f4").tobytes()) for ids, shares in bags(batch.column(2))]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["rank", "label", "ids", "shares"])
 
     # the sample has a fixed number of ids
     picked = docs.join(F.broadcast(chosen), docs[id_col] == chosen[HIDE + "id"], "inner").select(rank, lab, text)
-    rows = sorted(picked.mapInArrow(bag, "rank long, label int, ids binary, shares binary").collect())
-    bags = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["shares"], "<f4")) for r in rows]
-    return fit(bags, np.array([r["label"] for r in rows], np.int64))
+    rows = sorted(picked.mapInArrow(run, "rank long, label int, ids binary, shares binary").collect())
+    found = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["shares"], "<f4")) for r in rows]
+    return fit(found, np.array([r["label"] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
@@ -154,7 +175,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
         out = np.zeros(len(texts))
         done = 0
         for part in words.slices(pa.RecordBatch.from_arrays([texts], names=["t"])):
-            out[done : done + part.num_rows] = 1 / (1 + np.exp(-sent.value.margins(part.column(0))))
+            out[done : done + part.num_rows] = 1 / (1 + np.exp(-np.clip(sent.value.margins(part.column(0)), -500, 500)))
             done += part.num_rows
         return pd.Series(out)
 
