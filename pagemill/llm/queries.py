@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import op01_mixing, op02_secrets, op03_quality, op04_media, op05_packing, op06_exact_dedup, op07_pages, op08_backoff, op10_licences
+from pagemill.llm import op01_mixing, op02_secrets, op03_quality, op04_media, op05_packing, op06_exact_dedup, op07_pages, op08_backoff, op09_near, op10_licences
 
 QUERIES = {
     "op1_mixing": op01_mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": op06_exact_dedup.query,
     "op7_pages": op07_pages.query,
     "op8_backoff": op08_backoff.query,
+    "op9_near": op09_near.query,
     "op10_licences": op10_licences.query,
 }
 ORACLES = {
