@@ -70,43 +70,55 @@ def uniform(*key: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, wherever ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _upto(n: Column) -> Column:
+    """1.0 to n, or nothing if n is below 1."""
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), lambda v: v.cast("double"))).otherwise(F.array().cast("array<double>"))
+
+
 def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
     """Inverse-CDF draw: how many of ``draws`` from ``total`` items are among the ``good`` ones.
 
-    Probabilities are walked from the mode outwards by the ratio of neighbours, as
+    Probabilities are walked outwards from the mode by the ratio of neighbours, as
     multiples of the mode's, over all values whose share a double can represent.
     """
-    good, total, draws = (x.cast("double") for x in (good, total, draws))
-    low = F.greatest(F.lit(0.0), draws + good - total)
-    high = F.least(draws, good)
-    mode = F.greatest(low, F.least(high, F.floor((draws + 1) * (good + 1) / (total + 2)).cast("double")))
-    sd = F.sqrt(F.greatest(F.lit(0.0), draws * good / total * (1 - good / total) * (total - draws) / F.greatest(F.lit(1.0), total - 1)))
-    reach = F.ceil(sd * 12 + 12).cast("double")
-    first, last = F.greatest(low, mode - reach), F.least(high, mode + reach)
-    start = F.struct(F.array(F.lit(1.0)).alias("w"), F.lit(1.0).alias("p"))
-
-    def up(acc: Column, k: Column) -> Column:  # from k - 1 to k
-        p = acc["p"] * (good - k + 1) * (draws - k + 1) / (k * (total - good - draws + k))
-        return F.struct(F.concat(acc["w"], F.array(p)).alias("w"), p.alias("p"))
-
-    def down(acc: Column, k: Column) -> Column:  # from k + 1 to k
-        p = acc["p"] * (k + 1) * (total - good - draws + k + 1) / ((good - k) * (draws - k))
-        return F.struct(F.concat(acc["w"], F.array(p)).alias("w"), p.alias("p"))
-
-    def walk(lo: Column, hi: Column, step: Column, fold) -> Column:
-        values = F.when((hi - lo) * step >= 0, F.transform(F.sequence(lo.cast("long"), hi.cast("long"), step.cast("long")), lambda v: v.cast("double")))
-        return F.aggregate(F.coalesce(values, F.array().cast("array<double>")), start, fold)["w"]
-
-    above, below = walk(mode + 1, last, F.lit(1), up), walk(mode - 1, first, F.lit(-1), down)
-    weights = F.concat(F.reverse(F.slice(below, 2, F.size(below))), above)
-    whole = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    # the first value at which the running sum passes u times the whole
-    found = F.aggregate(
-        weights,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-        lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + F.when(a["sum"] + x <= u * whole, 1).otherwise(0)).alias("n")),
-    )["n"]
-    drawn = F.least(first + found, last)
+
+    def rise(v: Column, k: Column) -> Column:  # share of k over that of k - 1
+        return (v["good"] - k + 1) * (v["draws"] - k + 1) / (k * (v["total"] - v["good"] - v["draws"] + k))
+
+    def reach(v: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), v["draws"] + v["good"] - v["total"]), F.least(v["draws"], v["good"])
+        mode = F.greatest(low, F.least(high, F.floor((v["draws"] + 1) * (v["good"] + 1) / (v["total"] + 2)).cast("double")))
+        share = v["good"] / v["total"]
+        sd = F.sqrt(F.greatest(F.lit(0.0), v["draws"] * share * (1 - share) * (v["total"] - v["draws"]) / F.greatest(F.lit(1.0), v["total"] - 1)))
+        far = F.ceil(sd * 12 + 12).cast("double")
+        return F.struct(v["good"].alias("good"), v["total"].alias("total"), v["draws"].alias("draws"), v["u"].alias("u"), mode.alias("mode"), F.greatest(low, mode - far).alias("first"), F.least(high, mode + far).alias("last"))
+
+    def step(p: Column, acc: Column) -> Column:
+        return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"))
+
+    def tails(v: Column) -> Column:
+        start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"))
+        up = F.aggregate(_upto(v["last"] - v["mode"]), start, lambda a, j: step(a["p"] * rise(v, v["mode"] + j), a))
+        down = F.aggregate(_upto(v["mode"] - v["first"]), start, lambda a, j: step(a["p"] / rise(v, v["mode"] - j + 1), a))
+        return F.struct(v.alias("v"), down["p"].alias("p"), (v["u"] * (1 + up["sum"] + down["sum"])).alias("goal"))
+
+    def find(t: Column) -> Column:  # the first value at which the running sum passes the goal
+        start = F.struct(t["p"].alias("p"), t["p"].alias("sum"), t["v"]["first"].alias("k"))
+
+        def go(a: Column, j: Column) -> Column:
+            p = a["p"] * rise(t["v"], t["v"]["first"] + j)
+            on = a["sum"] <= t["goal"]
+            return F.struct(p.alias("p"), F.when(on, a["sum"] + p).otherwise(a["sum"]).alias("sum"), F.when(on, t["v"]["first"] + j).otherwise(a["k"]).alias("k"))
+
+        return F.aggregate(_upto(t["v"]["last"] - t["v"]["first"]), start, go)["k"]
+
+    given = F.struct(good.cast("double").alias("good"), total.cast("double").alias("total"), draws.cast("double").alias("draws"), u.alias("u"))
+    drawn = let(let(let(given, reach), tails), find)
     return F.when((good <= 0) | (draws <= 0), F.lit(0.0)).otherwise(drawn).cast("long")
 
 
@@ -116,7 +128,7 @@ def _draw(seed: int, level: int):
     def draw(acc: Column, q: Column) -> Column:
         u = uniform(F.lit(seed), F.lit(level), F.col("node"), F.size(acc["left"]))
         got = hypergeometric(q, acc["pool"], acc["room"], u)
-        return F.struct(F.concat(acc["left"], F.array(got)).alias("left"), (acc["pool"] - q).alias("pool"), (acc["room"] - got).alias("room"))
+        return let(got, lambda g: F.struct(F.concat(acc["left"], F.array(g)).alias("left"), (acc["pool"] - q).alias("pool"), (acc["room"] - g).alias("room")))
 
     return draw
 
