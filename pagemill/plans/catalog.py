@@ -33,10 +33,10 @@ class Catalog:
 
 
 def load() -> Catalog:
-    from pagemill.plans import layout_queries
+    from pagemill.plans import layout_queries, text_queries, translation_queries
 
     out = Catalog()
-    for module in (layout_queries,):
+    for module in (layout_queries, text_queries, translation_queries):
         module.register(out)
     return out
 
