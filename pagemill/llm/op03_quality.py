@@ -27,7 +27,7 @@ from pagemill.llm import words
 from pagemill.llm.common import HIDE, table
 
 #: The most labelled documents that training reads.
-SAMPLE = 6000
+SAMPLE = 3000
 BUCKETS, DIMS, EPOCHS, BATCH, RATE = 1 << 18, 8, 6, 16, 10.0
 SIZES = (3, 4, 5)
 #: Two more tokens with vectors of their own: a word that repeats the one before, and words that begin a repeated run of RUN words.
@@ -158,9 +158,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     # the sample has a fixed number of ids
     picked = docs.join(F.broadcast(chosen), docs[id_col] == chosen[HIDE + "id"], "inner").select(rank, lab, text)
-    rows = sorted(picked.mapInArrow(run, "rank long, label int, ids binary, shares binary").collect())
-    found = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["shares"], "<f4")) for r in rows]
-    return fit(found, np.array([r["label"] for r in rows], np.int64))
+    found = []
+    # one partition at a time, each row made small before the next
+    for r in picked.mapInArrow(run, "rank long, label int, ids binary, shares binary").toLocalIterator():
+        found.append((r["rank"], r["label"], np.frombuffer(bytes(r["ids"]), "<u4").astype(np.int32), np.frombuffer(bytes(r["shares"]), "<f4")))
+    found.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].tobytes()))
+    return fit([(ids, shares) for _, _, ids, shares in found], np.array([label for _, label, _, _ in found], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
