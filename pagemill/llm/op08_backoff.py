@@ -68,6 +68,19 @@ def _unpack(first: int, packed: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.array([first], np.uint64), gaps]), dtype=np.uint64)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """One byte each; those of 255 and more follow in eight."""
+    large = counts[counts >= 255]
+    return len(counts).to_bytes(4, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
+
+
+def _unpack_counts(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    out = np.frombuffer(packed, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(packed, "<i8", offset=4 + n)
+    return out
+
+
 def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Parts are ranges of the hash, so what is sorted by hash is sorted by part."""
     return (hashes >> np.uint64(BITS - 24)).astype(np.int64) * parts >> 24
@@ -83,23 +96,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
 
     def ask(rows: pa.Table) -> pa.Table:
         """What a bucket sends to each part: its distinct n-grams and how often it has them."""
-        found, counts, total = [], [], 0
-        for texts in _slices(_flat(rows.column(1))):
-            grams, _, _ = _ngrams(texts, order)
-            total += len(grams[0])
-            h, n = np.unique(np.concatenate(grams), return_counts=True)
-            found.append(h)
-            counts.append(n)
-        h, n = np.concatenate(found), np.concatenate(counts)
-        if len(found) > 1:
-            h, inverse = np.unique(h, return_inverse=True)
-            n = np.bincount(inverse, n).astype(np.int64)
+        found = [_ngrams(texts, order)[0] for texts in _slices(_flat(rows.column(1)))]
+        total = sum(len(grams[0]) for grams in found)
+        h, n = np.unique(np.concatenate([g for grams in found for g in grams]), return_counts=True)
         h, n = np.concatenate([np.zeros(1, np.uint64), h]), np.concatenate([[total], n])
         cuts = np.searchsorted(_part_of(h, parts), np.arange(parts + 1))
         out = []
         for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if b > a:
-                out.append((part, rows.column(2)[0].as_py(), *_pack(h[a:b]), n[a:b].astype("<u4").tobytes()))
+                out.append((part, rows.column(2)[0].as_py(), *_pack(h[a:b]), _pack_counts(n[a:b])))
         cols = list(zip(*out, strict=True))
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", bucket, "first", "hashes", "counts"])
@@ -107,28 +112,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
     def answer(rows: pa.Table) -> pa.Table:
         """The part's count table joined to what each bucket asked for."""
         asked = [_unpack(f, h) for f, h in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in rows.column(4).to_pylist()])
+        counts = np.concatenate([_unpack_counts(c) for c in rows.column(4).to_pylist()])
         _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         whole = np.bincount(inverse, counts).astype(np.int64)[inverse]
         ends = np.cumsum([len(a) for a in asked])
-        # totals beyond 32 bits keep their own width
-        wide = whole.max() >= 1 << 32
-        blobs = [(b"\10" if wide else b"\4") + whole[e - len(a) : e].astype("<u8" if wide else "<u4").tobytes() for a, e in zip(asked, ends, strict=True)]
+        blobs = [_pack_counts(whole[e - len(a) : e]) for a, e in zip(asked, ends, strict=True)]
         return pa.table([rows.column(1), rows.column(0), pa.array(blobs, pa.binary())], names=[bucket, "part", "counts"])
 
     def mark(rows: pa.Table, replies: pa.Table) -> pa.Table:
         """Scores of a bucket's documents from the corpus counts of its n-grams."""
         by_part = sorted(zip(replies.column(1).to_pylist(), replies.column(2).to_pylist(), strict=True))
-        count = np.concatenate([np.frombuffer(c, "<u4" if c[0] == 4 else "<u8", offset=1).astype(np.float64) for _, c in by_part])
-        texts = _flat(rows.column(1))
-        found = np.unique(np.concatenate([np.unique(np.concatenate(_ngrams(t, order)[0])) for t in _slices(texts)]))
-        total, count = count[0], count[1:]
+        count = np.concatenate([_unpack_counts(c) for _, c in by_part]).astype(np.float64)
+        found = [_ngrams(t, order) for t in _slices(_flat(rows.column(1)))]
+        _, inverse = np.unique(np.concatenate([g for grams, _, _ in found for g in grams]), return_inverse=True)
+        of_gram, used = count[1:][inverse], 0  # the first count is that of all words
         n_words, log_score = [], []
-        for t in _slices(texts):
-            grams, last, place = _ngrams(t, order)
-            seen = [count[np.searchsorted(found, g)] for g in grams]
+        for grams, last, place in found:
+            seen = []
+            for g in grams:
+                seen.append(of_gram[used : used + len(g)])
+                used += len(g)
             n = len(grams[0])
-            best = np.log(seen[0]) - np.log(total)
+            best = np.log(seen[0]) - np.log(count[0])
             # from bigrams up: an n-gram that was seen replaces the score, one that was not multiplies it by the back-off
             for k in range(2, order + 1):
                 c, at = seen[k - 1], last[k - 1]
