@@ -234,9 +234,9 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     Rows that agree in id, source and size are treated alike.
     """
     places = mix(sized(docs, id_col, text, source), **options).filter(F.size("places") > 0)
-    places = places.groupBy("key").agg(F.first("places").alias(HIDE + "places"))
+    places = places.groupBy(F.col("key").alias(HIDE + "row")).agg(F.first("places").alias(HIDE + "places"))
     keyed = docs.withColumn(HIDE + "key", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(source), word_count(F.col(text))))
-    out = keyed.join(places, keyed[HIDE + "key"] == places["key"], "inner").select(*docs.columns, HIDE + "key", F.explode(HIDE + "places").alias(HIDE + "place"))
+    out = keyed.join(places, keyed[HIDE + "key"] == places[HIDE + "row"], "inner").select(*docs.columns, HIDE + "key", F.explode(HIDE + "places").alias(HIDE + "place"))
     place = F.col(HIDE + "place")
     order = F.xxhash64(F.lit(options.get("seed", SEED) + 2), place["epoch"], HIDE + "key")
     return out.select(*docs.columns, place["epoch"].alias(HIDE + "epoch"), place["shard"].alias(HIDE + "shard"), order.alias(HIDE + "order"))
