@@ -21,7 +21,7 @@ PROBES = 4
 
 
 def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The PROBES cells of each 64-bit hash, by double hashing; ``bits`` is a power of two."""
+    """The PROBES cells of each 64-bit hash, by double hashing; ``bits`` is a power of two, BLOCK at least."""
     h = hashes.astype(np.uint64, copy=False)
     with np.errstate(over="ignore"):
         step = ((h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there: lineage ends here."""
+    """Write ``df`` to the shared folder and read it from there: lineage ends here.
+
+    What led to it is garbage then; Spark deletes shuffle files when the driver's
+    JVM collects, which a long plan should not leave to chance.
+    """
     scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def text_or_empty(col: str = "text"):
