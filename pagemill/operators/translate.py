@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.operators import chunking
 from pagemill.sources import tables
 
 
@@ -80,6 +81,24 @@ def run_model(texts: DataFrame, translate: Callable[[list[str], str, str], list[
     return texts.select("key", text).mapInPandas(run, "key string, translated_text string")
 
 
+def run_model_with_confidence(texts: DataFrame, translate: Callable[[list[str], str, str], list[tuple[str, float | None]]], source: str, target: str, text: str = "text") -> DataFrame:
+    """(key, translated_text, confidence) of whole texts, cut to sentences within the budget: the mean over a text's chunks, 1 where the model gives none."""
+    src, tgt = T.LANGUAGE_CODES[source], T.LANGUAGE_CODES[target]
+    chunks = texts.select("key", F.posexplode(chunking.sentence_chunks(F.col(text))).alias("chunk_no", "chunk"))
+
+    def run(batches):
+        import pandas as pd
+
+        for rows in batches:
+            got = translate(rows["chunk"].tolist(), src, tgt)
+            yield pd.DataFrame({"key": rows["key"], "chunk_no": rows["chunk_no"], "out": [g for g, _ in got], "sure": [1.0 if c is None else float(c) for _, c in got]})
+
+    made = chunks.mapInPandas(run, "key string, chunk_no int, out string, sure double")
+    grouped = made.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "out"))).alias("all"), F.avg("sure").alias("confidence"))
+    joined = grouped.select("key", F.array_join(F.transform("all", lambda c: c["out"]), " ").alias("translated_text"), "confidence")
+    return texts.select("key").join(joined, "key", "left").select("key", "translated_text", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+
+
 def finish(translated: Column, original: Column, target: str) -> Column:
     """Case of the original, and typography where the target is Russian."""
     cased = T.restore_case(original, translated)

@@ -284,3 +284,10 @@ def register(catalog) -> None:
         v, k = F.col("vec_id"), F.col("k")
         pixels = pixels.select("vec_id", ((v * 7 + k * 31) % 256).alias("r"), ((v * 11 + k * 17) % 256).alias("g"), ((v * 13 + k * 5) % 256).alias("b"))
         return render.background(pixels, ["vec_id"])
+
+    @add("redaction_rects", BOXED + " SELECT doc_id, line_no, (x1 + 100 - x0) * (y1 + 60 - y0) - 600 AS area FROM layout")
+    def redaction_rects(spark, folder):
+        hole = F.struct((F.col("x0") + 10).alias("x0"), (F.col("y0") + 5).alias("y0"), (F.col("x0") + 40).alias("x1"), (F.col("y0") + 25).alias("y1"))
+        boxes = views.layout(spark, folder).withColumn("holes", F.array(hole)).withColumn("x1", F.col("x1") + 100).withColumn("y1", F.col("y1") + 60)
+        made = render.redactions(boxes, ["doc_id", "line_no"], "holes")
+        return made.groupBy("doc_id", "line_no").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))

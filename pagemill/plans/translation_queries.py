@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import report, translate, verify
-from pagemill.plans import views
-from pagemill.plans.layout_queries import MARK_SQL, REST_SQL, WORDS_SQL
+from pagemill.plans import document_pipeline, views
+from pagemill.plans.layout_queries import BOXED, CLUSTER_SQL, MARK_SQL, REST_SQL, WORDS_SQL
 from pagemill.sources import tables
 from pagemill.streaming import pages as streaming
 
@@ -202,3 +202,29 @@ def register(catalog) -> None:
             F.count("*").alias("n_lines"), F.count("marker").alias("n_marked"), F.count_distinct("key").alias("n_keys"), F.count_if(verify.source_bleed(tgt, F.lit("ru"))).alias("n_bleed"),
             F.count_if(verify.length_outlier(src, tgt)).alias("n_ratio"), F.count_if(verify.repeats(tgt)).alias("n_repeats"),
         )
+
+    pipeline_sql = f"""{BOXED}, kept AS (SELECT * FROM layout WHERE NOT (y0 < 792.0::DOUBLE * 0.05::DOUBLE OR y1 > 792.0::DOUBLE * 0.95::DOUBLE) AND length(trim(line)) > 0){CLUSTER_SQL.replace("FROM layout", "FROM kept")},
+      g AS (SELECT doc_id, page_no, para_no, string_agg(trim(line), ' ' ORDER BY line_no) AS whole FROM clustered GROUP BY ALL),
+      t AS (SELECT doc_id, page_no, para_no, {REST_SQL.format('whole')} AS text FROM g) SELECT doc_id, count(*) AS processed, count_if(len(regexp_extract_all(text, '[^ ]')) = 0)::BIGINT AS blank FROM t GROUP BY doc_id"""
+
+    @add("document_pipeline_counters", pipeline_sql)
+    def document_pipeline_counters(spark, folder):
+        made = document_pipeline.run(views.layout(spark, folder), _cache(spark, folder), _mock, "ru", views.PAGE_HEIGHT)
+        blank = made.paragraphs.groupBy("doc_id").agg(F.count_if(F.trim("src") == "").alias("blank"))
+        return made.counters.join(blank, "doc_id", "left").select("doc_id", "processed", F.coalesce("blank", F.lit(0)).alias("blank"))
+
+    @add("document_pipeline")
+    def document_pipeline_report(spark, folder):
+        made = document_pipeline.run(views.layout(spark, folder), _cache(spark, folder), _mock, "ru", views.PAGE_HEIGHT, glossary=[("the", "the")], back_fn=_mock)
+        return made.report
+
+    @add("document_commands")
+    def document_commands(spark, folder):
+        images = views.layout(spark, folder).filter("page_no % 2 = 0").select("doc_id", "page_no").distinct().selectExpr("*", "0D as x0", "0D as y0", "612D as x1", "300D as y1")
+        return document_pipeline.run(views.layout(spark, folder), _cache(spark, folder), _mock, "ru", views.PAGE_HEIGHT, images=images).commands
+
+    @add("translate_with_confidence", f"SELECT {KEY_SQL.format('text')} AS key, 0.75::DOUBLE AS confidence FROM conversations WHERE text <> '' GROUP BY ALL")
+    def translate_with_confidence(spark, folder):
+        items = _talk(spark, folder).filter("text <> ''").groupBy("key").agg(F.min("text").alias("text"))
+        sure = lambda texts, source, target: [(f"[{target}]{t}", 0.75) for t in texts]
+        return translate.run_model_with_confidence(items, sure, "uz", "ru").select("key", "confidence")
