@@ -9,8 +9,8 @@ main text go by tag, role, or the words in their class and id.
 
 Hosts differ in size: counting combines on the map side by (host, subtree), and the
 list of a host's template subtrees is bounded by its pages' own number of subtrees
-over the threshold share. Pages of a hot host are on the splittable side of the
-join with that list.
+over the threshold share. Pages of a host are dealt over SALTS parts, each of which
+gets a copy of that list.
 
 Nulls: a null html is an empty page and gives an empty text; a null url is a host
 of its own. Broken and cut-off html is read as far as it goes. Repeated pages count
@@ -32,6 +32,8 @@ from pagemill.llm.common import HIDE, table
 
 #: A subtree is template if it is on so many pages of its host, and on this share of them.
 LEAST_PAGES, SHARE = 8, 0.3
+#: Parts over which the pages of a host are dealt for the join with its template.
+SALTS = 64
 
 #: Fixed values of HTML: elements without content, those whose content is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,8 +259,11 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str =
     """``pages`` with the main text in ``into`` instead of the html."""
     kept = [c for c in pages.columns if c != page]
     name, keys = HIDE + "host", HIDE + "keys"
+    salt = HIDE + "salt"
     lists = template_subtrees(pages, url, page, least, share).select(F.col("host").alias(name), F.col("keys").alias(keys))
-    joined = pages.withColumn(name, host(F.col(url))).join(lists, name, "left").select(*kept, page, keys)
+    lists = lists.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = pages.withColumn(name, host(F.col(url))).withColumn(salt, F.pmod(F.xxhash64(url, F.length(page)), F.lit(SALTS)))
+    joined = salted.join(lists, [name, salt], "left").select(*kept, page, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
