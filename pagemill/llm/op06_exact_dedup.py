@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pagemill.llm import bloom
 from pagemill.llm.common import HIDE, cut, table, text_or_empty
 
-#: Cells of the filter: 16 MB as a bitmap, whatever the input.
-BITS = 1 << 27
+#: Cells of the filter: 8 MB as a bitmap, 64 MB in a task that counts, whatever the input.
+BITS = 1 << 26
 
 HASH, SHA, MAYBE = HIDE + "hash", HIDE + "sha", HIDE + "maybe"
 
@@ -61,8 +61,8 @@ def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bits: in
     sizes = shuffled.groupBy(SHA).agg(
         F.max(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))).alias(best), F.count("*").alias("group_size")
     )
-    # rows of a hot group are on the splittable side of the join
-    joined = shuffled.join(sizes, SHA, "left")
+    # a plain join of two tables: adaptive execution splits the rows of a hot group
+    joined = shuffled.join(cut(sizes), SHA, "left")
     out = joined.select(id_col, F.col(best)["id"].alias("keep_id"), "group_size", (F.col(best)["uid"] == F.col(uid)).alias("kept"), SHA)
     alone = marked.filter(~F.col(MAYBE)).select(id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), SHA)
     return out.unionByName(alone).select(id_col, "keep_id", "group_size", "kept", F.lower(F.hex(SHA)).alias("text_sha256"))
