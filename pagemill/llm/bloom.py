@@ -69,7 +69,7 @@ def repeated(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     schema = "block int, once binary, twice binary"
     blocks = hashes.select(column).mapInArrow(scan, schema).repartition("block").mapInArrow(merge, schema)
     out = np.zeros(bits // 8, np.uint8)
-    for row in blocks.select("block", "twice").toLocalIterator():
+    for row in blocks.select("block", "twice").collect():
         at = row["block"] * (BLOCK // 8)
         out[at : at + BLOCK // 8] = np.frombuffer(row["twice"], np.uint8)
     return out
@@ -98,7 +98,7 @@ def members(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     schema = "block int, once binary, twice binary"
     blocks = keys.select(column).mapInArrow(scan, schema).repartition("block").mapInArrow(merge, schema)
     out = np.zeros(bits // 8, np.uint8)
-    for row in blocks.select("block", "twice").toLocalIterator():
+    for row in blocks.select("block", "twice").collect():
         at = row["block"] * (BLOCK // 8)
         out[at : at + BLOCK // 8] = np.frombuffer(row["twice"], np.uint8)
     return out

@@ -33,6 +33,8 @@ SIZES = (3, 4, 5)
 #: Two more tokens with vectors of their own: a word that repeats the one before, and words that begin a repeated run of RUN words.
 MARKS, RUN = 2, 4
 THRESHOLD, SEED = 0.3, 7
+#: Bytes of text whose distinct words are worked on at a time; each byte takes some hundred on the way.
+SLICE = 1 << 20
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in words.slices(whole, 2):
+            for batch in words.slices(whole, 2, SLICE):
                 rows = [(ids.astype("<u4").tobytes(), shares.astype("<f4").tobytes()) for ids, shares in bags(batch.column(2))]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["rank", "label", "ids", "shares"])
@@ -159,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     # the sample has a fixed number of ids
     picked = docs.join(F.broadcast(chosen), docs[id_col] == chosen[HIDE + "id"], "inner").select(rank, lab, text)
     found = []
-    # one partition at a time, each row made small before the next
-    for r in picked.mapInArrow(run, "rank long, label int, ids binary, shares binary").toLocalIterator():
+    # at most SAMPLE rows of a few thousand buckets
+    for r in picked.mapInArrow(run, "rank long, label int, ids binary, shares binary").collect():
         found.append((r["rank"], r["label"], np.frombuffer(bytes(r["ids"]), "<u4").astype(np.int32), np.frombuffer(bytes(r["shares"]), "<f4")))
     found.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].tobytes()))
     return fit([(ids, shares) for _, _, ids, shares in found], np.array([label for _, label, _, _ in found], np.int64))
@@ -170,17 +172,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     """``docs`` with the probability of label 1 in ``into``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def probability(column):
-        import pandas as pd
-
-        texts = pa.array(column, pa.string())
-        out = np.zeros(len(texts))
-        done = 0
-        for part in words.slices(pa.RecordBatch.from_arrays([texts], names=["t"])):
-            out[done : done + part.num_rows] = 1 / (1 + np.exp(-np.clip(sent.value.margins(part.column(0)), -500, 500)))
-            done += part.num_rows
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        parts = [np.zeros(0)]
+        for part in words.slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0, SLICE):
+            parts.append(1 / (1 + np.exp(-np.clip(sent.value.margins(part.column(0)), -500, 500))))
+        return pa.array(np.concatenate(parts))
 
     return docs.withColumn(into, probability(F.col(text)))
 

@@ -33,7 +33,7 @@ from pagemill.llm.common import HIDE, cut, table
 SIZE, END = 2048, 0
 #: The ranks of the vocabulary whose other form is byte_bpe_50k.json: the same ids, read by a faster library.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BUCKETS = 256
+BUCKETS = 64
 
 
 @lru_cache(maxsize=2)
@@ -182,7 +182,7 @@ def pack(cut_pieces: DataFrame, size: int = SIZE, buckets: int = BUCKETS) -> Dat
     base = counts.withColumn(HIDE + "base", F.sum("count").over(W.partitionBy("length").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)))
     totals = np.zeros(size + 1, np.int64)
     bases: dict[int, np.ndarray] = {}
-    for length, b, n, before in base.toLocalIterator():
+    for length, b, n, before in base.collect():
         totals[length] += n
         bases.setdefault(length, np.zeros(buckets, np.int64))[b] = before or 0
     sent = cut_pieces.sparkSession.sparkContext.broadcast((slots(plan(totals)), bases))
