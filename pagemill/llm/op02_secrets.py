@@ -135,3 +135,22 @@ def query(spark, sf_dir) -> DataFrame:
     count = lambda k: F.size(F.filter("s", lambda x: x["k"] == k)).cast("long").alias(f"n_{BASE[k]}")
     base = F.filter("s", lambda x: x["k"] < len(BASE))
     return found.select("doc_id", *map(count, range(len(BASE))), F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("s")).alias("spans"))
+
+
+def _sql_spans(n: int, rule: Rule) -> str:
+    """SQL list of (start, end, kind) of a rule: places from the lengths of the pieces between matches."""
+    regex = rule.regex.replace("'", "''")
+    length = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda q: length(q))), 0)"
+    start = f"({length('p[1:i]')} + {length('m[1:i - 1]')})::BIGINT"
+    own = f"list_transform(list_filter(range(1, len(m) + 1), lambda i: length(g[i]) >= {rule.least}), lambda i: {{'s': {start}, 'k': {n}, 'e': {start} + length(m[i])}})"
+    return f"(SELECT {own} FROM (SELECT regexp_extract_all(t, '{regex}') AS m, regexp_extract_all(t, '{regex}', {rule.group}) AS g, string_split_regex(t, '{regex}') AS p))"
+
+
+_SPANS = ", ".join(_sql_spans(n, r) for n, r in enumerate(RULES))
+_NAMES = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+_JOINED = f"coalesce(array_to_string(list_transform({{0}}, lambda x: {_NAMES}[x.k + 1] || ':' || x.s || ':' || x.e), ','), '')"
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, list_sort(flatten([{_SPANS}])) AS s FROM d)
+SELECT doc_id, {', '.join(f"len(list_filter(s, lambda x: x.k = {n})) AS n_{k}" for n, k in enumerate(BASE))},
+  sha256({_JOINED.format(f'list_filter(s, lambda x: x.k < {len(BASE)})')}) AS base_sha256, {_JOINED.format('s')} AS spans FROM a
+"""

@@ -147,8 +147,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
             n_words.append(np.diff(place))
             log_score.append(run[place[1:]] - run[place[:-1]])
         words_, logs = np.concatenate(n_words), np.concatenate(log_score)
-        mean = pa.array(np.round(logs / np.maximum(words_, 1), 9), mask=words_ == 0)
-        return pa.table([rows.column(0), pa.array(words_, pa.int64()), pa.array(np.round(logs, 6)), mean], names=[id_col, "n_words", "log_score", "mean_log_score"])
+        mean = pa.array(np.round(logs / np.maximum(words_, 1), 7), mask=words_ == 0)
+        return pa.table([rows.column(0), pa.array(words_, pa.int64()), pa.array(np.round(logs, 4)), mean], names=[id_col, "n_words", "log_score", "mean_log_score"])
 
     asked = dealt.groupBy(bucket).applyInArrow(ask, f"part int, {bucket} int, first long, hashes binary, counts binary")
     replies = asked.groupBy("part").applyInArrow(answer, f"{bucket} int, part int, counts binary")
@@ -157,3 +157,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
 
 def query(spark, sf_dir) -> DataFrame:
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+g AS (SELECT r, i, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2, CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3 FROM p),
+c1 AS (SELECT g1, count(*) AS c FROM g GROUP BY g1), c2 AS (SELECT g2, count(*) AS c FROM g WHERE g2 IS NOT NULL GROUP BY g2),
+c3 AS (SELECT g3, count(*) AS c FROM g WHERE g3 IS NOT NULL GROUP BY g3), n AS (SELECT count(*) AS n FROM g),
+h AS (SELECT g.r, i, c1.c AS a, c2.c AS b, c3.c AS t, lag(c1.c) OVER w AS ha, lag(c2.c) OVER w AS hb FROM g JOIN c1 USING (g1) LEFT JOIN c2 USING (g2) LEFT JOIN c3 USING (g3) WINDOW w AS (PARTITION BY g.r ORDER BY i)),
+s AS (SELECT r, CASE WHEN t >= 2 THEN ln(t) - ln(hb) WHEN b >= 2 THEN CASE WHEN t IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END + ln(b) - ln(ha)
+        ELSE (CASE WHEN t IS NOT NULL THEN 2 WHEN b IS NOT NULL THEN 1 ELSE 0 END) * ln(0.4::DOUBLE) + ln(a) - ln(n) END AS x FROM h, n),
+f AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, round(coalesce(x, 0), 4)::DOUBLE AS log_score, CASE WHEN len(ws) > 0 THEN round(x / len(ws), 7) END::DOUBLE AS mean_log_score FROM d LEFT JOIN f USING (r)
+"""

@@ -17,5 +17,8 @@ QUERIES = {
     "op10_licences": op10_licences.query,
 }
 ORACLES = {
+    "op2_secrets": op02_secrets.SQL,
+    "op8_backoff": op08_backoff.SQL,
+    "op9_near": op09_near.SQL,
     "op6_exact_dedup": op06_exact_dedup.SQL,
 }
