@@ -47,7 +47,7 @@ def by_heading(paragraphs: DataFrame, order: str = "para_no", fontsize: str = "f
     if font:
         heading = heading | F.contains(F.lower(F.coalesce(F.col(font), F.lit(""))), F.lit("bold"))
     out = paragraphs.withColumn("_median", upper_median(sizes, 11.0)).withColumn("is_heading", heading).withColumn("_first", F.row_number().over(w) == 1)
-    seq = F.sum(F.when(F.col("is_heading") & ~F.col("_first"), 1).otherwise(0)).over(w)
+    seq = F.sum(F.when(F.col("is_heading") & ~F.col("_first"), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     out = out.withColumn("article_seq", seq)
     return out.withColumn("article_id", F.concat(F.lit("block_"), F.col("article_seq").cast("string"))).withColumn("method", F.lit("heading_heuristic")).drop("_median", "_first")
 

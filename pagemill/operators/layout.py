@@ -103,7 +103,7 @@ def dehyphenate(lines: DataFrame, key: tuple[str, ...] = ("doc_id",), order: str
     w = W.partitionBy(*key).orderBy(order)
     flagged = lines.withColumn("m", F.coalesce(T.joins_next(F.lag(text).over(w), F.col(text)), F.lit(False)))
     flagged = flagged.withColumn("next_m", F.coalesce(F.lead("m").over(w), F.lit(False)))
-    flagged = flagged.withColumn("chain", F.sum(F.when(F.col("m"), 0).otherwise(1)).over(w))
+    flagged = flagged.withColumn("chain", F.sum(F.when(F.col("m"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     part = F.when(F.col("next_m"), T.hyphen_core(F.col(text))).otherwise(F.col(text))
     part = F.when(F.col("m"), T.left_stripped(part)).otherwise(part)
     grouped = flagged.withColumn("part", part).groupBy(*key, "chain").agg(F.array_sort(F.collect_list(F.struct(order, "part"))).alias("parts"), F.min(order).alias(order))
@@ -116,7 +116,7 @@ def cluster_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
     before = {c: F.lag(c).over(w) for c in ("x0", "y1", "fontsize")}
     near = (F.col("y0") - before["y1"] < before["fontsize"] * LINE_GAP) & (F.abs(F.col("x0") - before["x0"]) < F.greatest(before["fontsize"] * INDENT, F.lit(INDENT_LEAST)))
     starts = F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)
-    return lines.withColumn("_starts", starts).withColumn("para_no", F.sum("_starts").over(w) - 1).drop("_starts")
+    return lines.withColumn("_starts", starts).withColumn("para_no", F.sum("_starts").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1).drop("_starts")
 
 
 def build_paragraphs(clustered: DataFrame, order: str = "line_no", text: str = "line") -> DataFrame:
