@@ -27,7 +27,7 @@ from pagemill.llm import words
 from pagemill.llm.common import HIDE, table
 
 #: The most labelled documents that training reads.
-SAMPLE = 3000
+SAMPLE = 2000
 BUCKETS, DIMS, EPOCHS, BATCH, RATE = 1 << 18, 8, 6, 16, 10.0
 SIZES = (3, 4, 5)
 #: Two more tokens with vectors of their own: a word that repeats the one before, and words that begin a repeated run of RUN words.
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     found = []
     # at most SAMPLE rows of a few thousand buckets
     for r in picked.mapInArrow(run, "rank long, label int, ids binary, shares binary").collect():
-        found.append((r["rank"], r["label"], np.frombuffer(bytes(r["ids"]), "<u4").astype(np.int32), np.frombuffer(bytes(r["shares"]), "<f4")))
+        found.append((r["rank"], r["label"], np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["shares"], "<f4")))
     found.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].tobytes()))
     return fit([(ids, shares) for _, _, ids, shares in found], np.array([label for _, label, _, _ in found], np.int64))
 
