@@ -149,8 +149,8 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
             F.struct(F.col("node").alias("node"), F.col("left_width").alias("width"), F.col("left").alias("quota")),
             F.struct((F.col("node") + F.col("left_width")).alias("node"), (F.col("width") - F.col("left_width")).alias("width"), right.alias("quota")),
         )
-        nodes = cut(nodes.select(F.explode(child).alias("c")).select("c.*").filter("width > 0"))
-    return nodes.select(F.col("node").alias("shard"), "quota")
+        nodes = nodes.select(F.explode(child).alias("c")).select("c.*").filter("width > 0")
+    return cut(nodes.select(F.col("node").alias("shard"), "quota"))
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
