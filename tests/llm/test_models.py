@@ -39,7 +39,7 @@ def test_scores_match_brute_force(spark, order):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in op08_backoff.score(frame, order=order, parts=5).collect()}
     for i, (n, log) in enumerate(brute(texts, order)):
-        assert got[i].n_words == n and abs(got[i].log_score - log) < 1e-5
+        assert got[i].n_words == n and abs(got[i].log_score - log) < 1e-4
         assert (got[i].mean_log_score is None) == (n == 0)
 
 
