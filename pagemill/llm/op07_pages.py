@@ -1,20 +1,27 @@
 """Main text of web pages, with removal of each site's template.
 
 Every element subtree of a page has a hash of its tags and text. Spark counts, for
-each host, on how many of its pages a subtree occurs; subtrees on many pages of
-the host are template and are deleted. Inside an article or main element, and for
-the paragraphs of running text, repetition is no sign of a template (an article
-quotes), so there only container elements go. Before that, elements that never are
-main text go by tag, role, or the words in their class and id.
-
-Hosts differ in size: counting combines on the map side by (host, subtree), and the
-list of a host's template subtrees is bounded by its pages' own number of subtrees
-over the threshold share. Pages of a host are dealt over SALTS parts, each of which
-gets a copy of that list.
+each host, on how many of its distinct pages a subtree occurs; subtrees on many pages
+of the host are template and are deleted: those on a large share of the pages, and
+containers on a great number of pages already at a small share (the menu of one
+section of a large site). Inside an article or main element, and for the paragraphs of
+running text, repetition is no sign of a template (an article quotes), so there only
+container elements go. Before that, elements that never are main text go by tag, role,
+or the words in their class and id.
+
+Copies say nothing about a template: pages of one host with the same tree of tags and
+text count once. Pages that differ in a word are not copies.
+
+Hosts differ in size: copies are dropped by (host, whole tree) and counting combines on
+the map side by (host, subtree); the list of a host's template subtrees is bounded by
+its pages' own number of subtrees over the threshold share. That is why containers need
+a share too: what is on less than MANY_SHARE of a host's pages stays, as does all on a
+host of fewer than LEAST_PAGES distinct pages. Pages of a host are dealt over SALTS
+parts, each of which gets a copy of that list.
 
 Nulls: a null html is an empty page and gives an empty text; a null url is a host
-of its own. Broken and cut-off html is read as far as it goes. Repeated pages count
-each. Extra columns are dropped by ``extract`` only if not asked for.
+of its own. Broken and cut-off html is read as far as it goes. Extra columns are
+dropped by ``extract`` only if not asked for.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ from pagemill.llm.common import HIDE, table
 
 #: A subtree is template if it is on so many pages of its host, and on this share of them.
 LEAST_PAGES, SHARE = 8, 0.3
+#: A container is template on so many pages of its host as well, if they are this share of them.
+MANY_PAGES, MANY_SHARE = 1000, 0.01
 #: Parts over which the pages of a host are dealt for the join with its template.
 SALTS = 64
 
@@ -148,7 +157,7 @@ def _postorder(root: Node) -> list[Node]:
 
 
 def key_subtrees(root: Node) -> list[Node]:
-    """Gives each element the hash of its subtree; elements with text, in no particular order."""
+    """Gives each element the hash of its subtree, odd for containers; elements with text, in no particular order."""
     import xxhash
 
     out = []
@@ -163,7 +172,7 @@ def key_subtrees(root: Node) -> list[Node]:
             elif kid.key:
                 h.update(kid.key.to_bytes(8, "little"))
                 text = True
-        node.key = (h.intdigest() or 1) if text else 0
+        node.key = ((h.intdigest() & ~1) or 2) | (node.tag not in TEXT_BLOCKS) if text else 0
         if text and node.tag and node.tag not in DROP:
             out.append(node)
     return out
@@ -235,32 +244,37 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def template_subtrees(pages: DataFrame, url: str = "url", page: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, keys): hashes of the subtrees on many pages of the host."""
+def template_subtrees(pages: DataFrame, url: str = "url", page: str = "html", least: int = LEAST_PAGES, share: float = SHARE, many: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
+    """(host, keys): hashes of the subtrees on many distinct pages of the host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys = [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {n.key for n in removable(parse(text or ""))} | {0}  # 0 counts the pages
-                hosts += [name] * len(found)
+            trees, keys, ends = [], [], [0]
+            for text in batch.column(1).to_pylist():
+                root = parse(text or "")
+                found = {n.key for n in removable(root)} | {0}  # 0 counts the pages
+                trees.append(root.key)
                 keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["host", "key"])
+                ends.append(len(keys))
+            trees, keys = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (trees, keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), trees, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)], names=["host", "tree", "keys"])
 
-    counts = pages.select(host(F.col(url)).alias("host"), F.col(page)).mapInArrow(run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).filter((F.col("n") >= least) | (F.col("key") == 0))
+    distinct = pages.select(host(F.col(url)).alias("host"), F.col(page)).mapInArrow(run, "host string, tree long, keys array<long>").groupBy("host", "tree").agg(F.first("keys").alias("keys"))
+    counts = distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter((F.col("n") >= least) | (F.col("key") == 0))
     total = F.max(F.when(F.col("key") == 0, F.col("n")))
     every = F.collect_list(F.when(F.col("key") != 0, F.struct("key", "n")))
     hosts = counts.groupBy("host").agg(total.alias("pages"), every.alias("all"))
-    frequent = F.transform(F.filter("all", lambda s: s["n"] >= F.col("pages") * share), lambda s: s["key"])
+    template = lambda s: (s["n"] >= F.col("pages") * share) | ((s["key"] % 2 != 0) & (s["n"] >= many) & (s["n"] >= F.col("pages") * many_share))
+    frequent = F.transform(F.filter("all", template), lambda s: s["key"])
     return hosts.select("host", frequent.alias("keys")).filter(F.size("keys") > 0)
 
 
-def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str = "text", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str = "text", least: int = LEAST_PAGES, share: float = SHARE, many: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
     """``pages`` with the main text in ``into`` instead of the html."""
     kept = [c for c in pages.columns if c != page]
     name, keys = HIDE + "host", HIDE + "keys"
     salt = HIDE + "salt"
-    lists = template_subtrees(pages, url, page, least, share).select(F.col("host").alias(name), F.col("keys").alias(keys))
+    lists = template_subtrees(pages, url, page, least, share, many, many_share).select(F.col("host").alias(name), F.col("keys").alias(keys))
     lists = lists.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     salted = pages.withColumn(name, host(F.col(url))).withColumn(salt, F.pmod(F.xxhash64(url, F.length(page)), F.lit(SALTS)))
     joined = salted.join(lists, [name, salt], "left").select(*kept, page, keys)

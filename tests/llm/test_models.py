@@ -130,3 +130,26 @@ def test_articles_may_repeat_paragraphs(spark):
     page = "<body><div id=x><span>Menu of site</span></div><article><h1>T{0}</h1><p>A quote that all pages have.</p><div><p>Part {0}</p></div></article></body>"
     pages = spark.createDataFrame([(i, "http://a.example/", page.format(i)) for i in range(30)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in op07_pages.extract(pages).collect()}[7] == "T7\nA quote that all pages have.\nPart 7"
+
+
+def test_copied_pages_are_no_template(spark):
+    plain = "<body><div id=x><span>Menu of site</span></div><div><h1>T{0}</h1><p>Story {0}</p></div></body>"
+    article = "<body><div id=x><span>Menu of site</span></div><article><div><p>Story {0}</p></div></article></body>"
+    rows = [(i + 100 * k, f"http://{'ab'[k]}.example/{i}", page.format(max(i - 29, 0))) for k, page in enumerate((plain, article)) for i in range(50)]
+    got = {r.page_id: r.text for r in op07_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # thirty copies of one page, and twenty others
+    assert len(got) == 100 and got[3] == "T0\nStory 0" and got[45] == "T16\nStory 16"
+    assert got[103] == "Story 0" and got[145] == "Story 16"
+    few = [(i, "http://a.example/", plain.format(i % 5)) for i in range(50)]
+    got = {r.page_id: r.text for r in op07_pages.extract(spark.createDataFrame(few, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Menu of site\nT2\nStory 2"
+
+
+def test_menus_of_a_section_go(spark):
+    page = "<body>{1}<p>Yes</p><p>Story {0}</p></body>"
+    menu = "<div><ul><li>Part one</li></ul></div>"
+    rows = [(i, "http://a.example/", page.format(i, menu if i < 12 else "").replace("<p>Yes</p>", "<p>Yes</p>" if i < 12 else "")) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in op07_pages.extract(pages, many=12).collect()}[3] == "Yes\nStory 3"
+    for kept in ({"many": 13}, {"many": 12, "many_share": 0.21}):
+        assert {r.page_id: r.text for r in op07_pages.extract(pages, **kept).collect()}[3] == "Part one\nYes\nStory 3"
