@@ -128,8 +128,8 @@ def protect_latex(df: DataFrame, key: str = "doc_id", order: str = "line_no", te
 
 
 def restore(masked: Column, entries: Column) -> Column:
-    """Puts originals back; placeholders are single characters, so their order does not matter."""
-    return T.replace_all(masked, entries, "placeholder", "original")
+    """Puts originals back, the last masked first: an inline LaTeX block may hold the placeholder of a displayed one."""
+    return T.replace_all(masked, F.reverse(entries), "placeholder", "original")
 
 
 def mask_formulas(text: Column, spans: Column) -> Column:

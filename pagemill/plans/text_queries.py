@@ -1,4 +1,8 @@
-"""Queries on text: markers, normal forms, entities, masking, sentences, chunks, batches."""
+"""Queries on text: markers, normal forms, entities, masking, sentences, chunks, batches.
+
+The SQL of some queries leaves out lines that DuckDB treats in its own way; the query
+of the same name with ``_all`` has every line and no SQL.
+"""
 
 from __future__ import annotations
 
@@ -47,7 +51,11 @@ def register(catalog) -> None:
 
     @add("normalize_text", LINES + " SELECT doc_id, line_no, CASE WHEN line_no % 2 = 0 THEN 'oʻ ' ELSE 'o'' ' END || line AS text FROM lines WHERE instr(line, '''') = 0 AND instr(line, '’') = 0")
     def normalize_text(spark, folder):
-        found = views.lines(spark, folder).filter("instr(line, \"'\") = 0 and instr(line, '’') = 0")
+        return normalize_text_all(spark, folder, "instr(line, \"'\") = 0 and instr(line, '’') = 0")
+
+    @add("normalize_text_all")
+    def normalize_text_all(spark, folder, only="true"):
+        found = views.lines(spark, folder).filter(only)
         source = F.when(F.col("line_no") % 2 == 0, F.lit("uz")).otherwise(F.lit("ru"))
         return found.select("doc_id", "line_no", T.normalize(F.concat(F.lit("o' "), "line"), source).alias("text"))
 
@@ -79,8 +87,14 @@ def register(catalog) -> None:
 
     @add("latex_round_trip", LINES + " SELECT doc_id, line_no, true AS restored, 3 AS n_blocks FROM lines WHERE instr(line, '$') = 0")
     def latex_round_trip(spark, folder):
-        found = views.lines(spark, folder).filter("instr(line, '$') = 0").withColumn("line", F.concat(F.lit("$a^2$ and $$\\sum_i i$$ "), "line", F.lit(" $b_1$")))
-        masked = masking.protect_latex(found)
+        return latex_round_trip_all(spark, folder, "instr(line, '$') = 0")
+
+    @add("latex_round_trip_all")
+    def latex_round_trip_all(spark, folder, only="true"):
+        found = views.lines(spark, folder).filter(only).withColumn("line", F.concat(F.lit("$a^2$ and $$\\sum_i i$$ "), "line", F.lit(" $b_1$")))
+        # three blocks more in each line: a page of lines has the placeholders that a document would have
+        pages = found.withColumn("page", F.concat_ws(" ", "doc_id", F.expr(f"line_no div {views.PER_PAGE}")))
+        masked = masking.protect_latex(pages, "page")
         return masked.select("doc_id", "line_no", (masking.restore(F.col("masked"), F.col("entries")) == F.col("line")).alias("restored"), F.size("entries").cast("long").alias("n_blocks"))
 
     formula = "'x² + ' || {0}"
@@ -88,12 +102,16 @@ def register(catalog) -> None:
 
     @add("math_round_trip", math_sql)
     def math_round_trip(spark, folder):
+        return math_round_trip_all(spark, folder, "instr(line, '▨') = 0")
+
+    @add("math_round_trip_all")
+    def math_round_trip_all(spark, folder, only="true"):
         first, second = "", ""
         text = F.concat("line", F.lit(f" {first} = {second}"))
         own = F.concat(F.lit("x² + "), F.col("line_no").cast("string"))
         entry = lambda mark, original: F.struct(F.lit(mark).alias("placeholder"), original.alias("original"))
         spans = F.array(entry(first, own), entry(second, F.lit("")))
-        found = views.lines(spark, folder).filter("instr(line, '▨') = 0").select("doc_id", "line_no", masking.mask_formulas(text, spans).alias("shown"), spans.alias("spans"))
+        found = views.lines(spark, folder).filter(only).select("doc_id", "line_no", masking.mask_formulas(text, spans).alias("shown"), spans.alias("spans"))
         return found.select("doc_id", "line_no", "shown", masking.unmask_formulas(F.col("shown"), F.col("spans")).alias("filled"))
 
     placeholder_sql = "WITH " + views.LINES_SQL + ", n AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS k FROM lines) SELECT doc_id, line_no, chr((57344 + k)::INTEGER) AS placeholder FROM n"
@@ -150,7 +168,11 @@ def register(catalog) -> None:
 
     @add("restore_case", case_sql)
     def restore_case(spark, folder):
-        found = views.lines(spark, folder).filter("instr(line, 'ß') = 0")
+        return restore_case_all(spark, folder, "instr(line, 'ß') = 0")
+
+    @add("restore_case_all")
+    def restore_case_all(spark, folder, only="true"):
+        found = views.lines(spark, folder).filter(only)
         return found.select("doc_id", "line_no", T.restore_case(F.col("line"), F.lower("line")).alias("text"))
 
     short = "|".join(T.SHORT_WORDS)

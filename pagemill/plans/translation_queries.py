@@ -135,7 +135,12 @@ def register(catalog) -> None:
 
     @add("char_overlap", PAIRS + f" SELECT doc_id, {OVERLAP_SQL.format('src', 'tgt')} AS score FROM pairs WHERE src <> '' AND instr(src || tgt, 'ß') = 0 AND instr(src || tgt, 'İ') = 0")
     def char_overlap(spark, folder):
-        found = views.pairs(spark, folder).filter("src <> '' and instr(src || tgt, 'ß') = 0 and instr(src || tgt, 'İ') = 0")
+        return char_overlap_all(spark, folder, "src <> '' and instr(src || tgt, 'ß') = 0 and instr(src || tgt, 'İ') = 0")
+
+    @add("char_overlap_all")
+    def char_overlap_all(spark, folder, only="true"):
+        # without SQL: every pair, also those that DuckDB lowers in its own way
+        found = views.pairs(spark, folder).filter(only)
         return found.select("doc_id", T.char_overlap(F.col("src"), F.col("tgt")).alias("score"))
 
     tier2 = CHECK_SQL + ", z AS (SELECT doc_id, src, reasons, len(reasons) > 0 AS due, doc_id % 2 = 0 AS good FROM r) SELECT doc_id, due AND (NOT good OR list_contains(reasons, 'numeric_mismatch')) AS flagged, due AS tier2_executed, array_to_string(CASE WHEN due AND NOT good THEN list_append(reasons, 'back_translation_mismatch') ELSE reasons END, '|') AS reasons FROM z"
