@@ -243,11 +243,20 @@ def undo_cross_colour(pixels: np.ndarray, width: int, height: int, tile: int, el
 
 
 def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, ARGB pixels) of one RIFF file."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-        raise WebPError("not a lossless WebP file")
-    size = struct.unpack_from("<I", data, 16)[0]
-    body = data[20 : 20 + size]
+    """(width, height, ARGB pixels) of one RIFF file, simple or extended; its first lossless image chunk counts."""
+    if len(data) < 25 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise WebPError("not a WebP file")
+    at = 12
+    # an extended file has VP8X, and maybe ICCP and others, before the image
+    while data[at : at + 4] != b"VP8L":
+        if at + 8 > len(data) or data[at : at + 4] in (b"VP8 ", b"ALPH", b"ANIM", b"ANMF"):
+            raise WebPError("not a lossless still image")
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        at += 8 + size + (size & 1)
+    if at + 8 > len(data):
+        raise WebPError("cut off")
+    size = struct.unpack_from("<I", data, at + 4)[0]
+    body = data[at + 8 : at + 8 + size]
     if body[:1] != b"\x2f" or len(body) != size:
         raise WebPError("bad signature or size")
     bits = Bits(body[1:])

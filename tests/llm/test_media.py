@@ -240,6 +240,19 @@ def test_broken_files_are_errors():
             webp.decode(bad)
 
 
+def test_extended_files():
+    simple = webp.encode(b"payload " * 8)
+    chunk = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    riff = lambda body: b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
+    size = chunk(b"VP8X", bytes([0x3C, 0, 0, 0, 15, 0, 0, 0, 0, 0]))
+    whole = riff(size + chunk(b"ICCP", b"odd") + simple[12:] + chunk(b"EXIF", b"x") + chunk(b"XMP ", b"<x/>"))
+    got, want = op04_media.decode_all([whole])[0], op04_media.decode_all([simple])[0]
+    assert got[:2] == want[:2] == (16, 1) and (got[2] == want[2]).all()
+    for bad in (riff(size), riff(size + chunk(b"ANMF", simple[12:])), riff(size + chunk(b"VP8 ", b"lossy one")), whole[:47]):
+        with pytest.raises(webp.WebPError):
+            webp.decode(bad)
+
+
 def test_query_reads_back_what_it_stored(spark, docs, empty):
     got = op04_media.features(op04_media.to_media(docs)).collect()
     want = sorted((str(r.doc_id), len((r.text or "").encode()), hashlib.sha256(op04_media.padded((r.text or "").encode())).hexdigest(), zlib.crc32(op04_media.padded((r.text or "").encode())[-64:])) for r in docs.collect())
