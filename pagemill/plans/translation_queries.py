@@ -44,13 +44,13 @@ def _second(spark, folder):
 
 def _cache(spark, folder):
     talk = tables.table(spark, folder, "conversations").filter("turn % 2 = 0").select("text").distinct()
-    made = talk.select(T.cache_key(F.lit("uz"), F.lit("ru"), F.col("text")).alias("key"), F.concat(F.lit("[rus_Cyrl]"), "text").alias("translated_text"))
+    made = talk.select(T.cache_key(F.lit("uz"), F.lit("ru"), T.nfkc(F.col("text"))).alias("key"), F.concat(F.lit("[rus_Cyrl]"), "text").alias("translated_text"))
     made = made.groupBy("key").agg(F.min("translated_text").alias("translated_text"))
     return made.select("key", "translated_text", F.lit(1).alias("schema_version"), F.lit(None).cast("string").alias("glossary_hash"))
 
 
 def _talk(spark, folder):
-    return translate.keyed(tables.table(spark, folder, "conversations"), "uz", "ru", composed=True)
+    return translate.keyed(tables.table(spark, folder, "conversations"), "uz", "ru")
 
 
 CACHE_SQL = f"cache AS (SELECT {KEY_SQL.format('text')} AS key, min('[rus_Cyrl]' || text) AS translated_text FROM conversations WHERE turn % 2 = 0 GROUP BY ALL), talk AS (SELECT *, {KEY_SQL.format('text')} AS key FROM conversations)"
@@ -69,7 +69,7 @@ def register(catalog) -> None:
     def flagship_report(spark, folder):
         line = F.col("line")
         found = views.lines(spark, folder).filter(F.length(F.trim("line")) > 0).select("lang", T.list_marker(line).alias("marker"), T.without_marker(line).alias("src"))
-        found = translate.keyed(found, "uz", "ru", "src", composed=True).withColumn("tgt", translate.mock_translation(F.col("src"), "ru"))
+        found = translate.keyed(found, "uz", "ru", "src").withColumn("tgt", translate.mock_translation(F.col("src"), "ru"))
         src, tgt = F.col("src"), F.col("tgt")
         return found.groupBy("lang").agg(
             F.count("*").alias("n_lines"), F.count("marker").alias("n_marked"), F.count_distinct("key").alias("n_keys"), F.count_if(verify.source_bleed(tgt, F.lit("ru"))).alias("n_bleed"),
@@ -102,9 +102,9 @@ def register(catalog) -> None:
         known = _talk(spark, folder)
         new = translate.run_model(translate.misses(known, cache), _mock, "uz", "ru")
         merged = cache.select("key", "translated_text", F.lit(True).alias("was_cached")).unionByName(new.withColumn("was_cached", F.lit(False)))
-        # texts of one key differ in outer white space at most: the raw output is given the item's own text
+        # texts of one key are the same but for outer white space and normal form: the raw output is given the item's own text
         out = known.join(merged, "key", "left")
-        return out.select("conv_id", "turn", "was_cached", F.when(F.contains("translated_text", F.trim("text")), F.concat(F.lit("[rus_Cyrl]"), "text")).alias("raw"))
+        return out.select("conv_id", "turn", "was_cached", F.when(F.contains(T.nfkc(F.col("translated_text")), F.trim(T.nfkc(F.col("text")))), F.concat(F.lit("[rus_Cyrl]"), "text")).alias("raw"))
 
     @add("verify_numeric", CHECK_SQL + " SELECT doc_id, numeric AS mismatch FROM r")
     def verify_numeric(spark, folder):
@@ -199,7 +199,7 @@ def register(catalog) -> None:
         def work(batch):
             line = F.col("line")
             found = tables.lines(batch).filter(F.length(F.trim("line")) > 0).select("lang", T.list_marker(line).alias("marker"), T.without_marker(line).alias("src"))
-            return translate.keyed(found, "uz", "ru", "src", composed=True).withColumn("tgt", translate.mock_translation(F.col("src"), "ru"))
+            return translate.keyed(found, "uz", "ru", "src").withColumn("tgt", translate.mock_translation(F.col("src"), "ru"))
 
         streaming.run_available(streaming.stream_files(spark, folder, schema, "documents.parquet"), work, f"{out}/rows", f"{out}/checkpoint")
         rows, src, tgt = spark.read.parquet(f"{out}/rows"), F.col("src"), F.col("tgt")

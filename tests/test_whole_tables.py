@@ -85,3 +85,24 @@ def test_overlap_of_all_pairs(spark, whole):
     assert any("ß" in src for k, (src, _) in pairs.items() if k < 10_000_000)
     want = {k: len(set(a.lower()) & set(b.lower())) / len(set(a.lower())) if a else 0.0 for k, (a, b) in pairs.items()}
     assert got == pytest.approx(want)
+
+
+def test_keys_are_of_the_normal_form(spark, tmp_path):
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = ["ﬁn", "fin", "ｘ", "x", "a\u00a0b", "a b", "e\u0301", "\u00e9"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pq.write_table(pa.table({"doc_id": [1], "text": ["\n".join(texts)], "lang": ["en"], "source": ["a"], "n_chars": [9]}), f"{tmp_path}/documents.parquet")
+    got = {r.turn: r.key for r in catalog.QUERIES["cache_key"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(f"uz|ru|{unicodedata.normalize('NFKC', t)}|null".encode()).hexdigest() for i, t in enumerate(texts)}
+    # every second text is in the cache, and the others are equal to them
+    assert catalog.QUERIES["cache_misses"](spark, str(tmp_path)).count() == 0
+    assert [r.cached is None for r in catalog.QUERIES["cache_probe"](spark, str(tmp_path)).collect()] == [False] * 8
+    assert catalog.QUERIES["cache_upsert"](spark, str(tmp_path)).count() == 4
+    made = {r.turn: (r.was_cached, r.raw) for r in catalog.QUERIES["translate_cached"](spark, str(tmp_path)).collect()}
+    assert made == {i: (True, f"[rus_Cyrl]{t}") for i, t in enumerate(texts)}
+    for name in ("flagship_report", "streaming_pages"):
+        assert [r.n_keys for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == [4]
