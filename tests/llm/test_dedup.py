@@ -113,7 +113,39 @@ def test_near_awkward_rows(docs, empty):
     assert near(empty) == []
     kept = op09_near.near_dedup(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 5, 6, 7, 8, 10, 10, 11, 12]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 5, 6, 7, 8, 10, 11, 12]
+
+
+def test_near_dedup_judges_rows_by_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, near_a, b = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (2, near_a), (2, b), (3, b + " end"), (4, "alone here"), (4, "alone here"), (None, a), (5, None), (5, "")]
+    kept = op09_near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'y' as copies", "1 as mark"))
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, a), (2, b), (4, "alone here"), (5, ""), (5, "")])
+    assert kept.columns == ["doc_id", "text", "copies", "mark"]
+
+
+@pytest.mark.parametrize("shape", ["star", "chain", "ring"])
+def test_near_edges_stay_linear(spark, monkeypatch, shape):
+    """Copies of one text: links and candidate links that Spark handles are a small multiple of the nodes."""
+    seen = []
+    inner = links.components
+    monkeypatch.setattr(links, "components", lambda e: (seen.append((e := e.checkpoint()).count()), inner(e))[1])
+    per_node = []
+    for n in (300, 1200):
+        rng, rows, own = random.Random(n), [], [f"w{i}" for i in range(150)]
+        for i in range(n):
+            text = list(own)
+            text[rng.randrange(150) if shape == "star" else i % 150] = f"e{rng.randrange(10**6)}" if shape != "ring" else f"e{i % 7}"
+            if shape == "chain":
+                own = text
+            rows.append((i, " ".join(text)))
+        seen.clear()
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        got = near(frame, k=4, num=85, den=100, block=64)
+        assert len(got) == n and (shape == "chain" or {c for *_, c in got} == {0})
+        per_node.append(sum(seen) / n)
+    assert per_node[1] < 8 and per_node[1] < per_node[0] * 1.5 + 1
 
 
 def test_components(spark):
@@ -122,6 +154,29 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10, 20: 20, 21: 20, 22: 20}
 
 
+@pytest.mark.parametrize("last", [0, 10, 1 << 14])
+def test_components_of_odd_shapes_and_extension(spark, monkeypatch, last):
+    monkeypatch.setattr(links, "LAST", last)
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 112)] + [(200, i) for i in range(180, 220)]
+    up = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            up.setdefault(u, u), up.setdefault(v, v)
+            a, b = sorted((find(u), find(v)))
+            up[b] = a
+    want = {x: find(x) for x in up}
+    first, second = (spark.createDataFrame(e, "u long, v long") for e in (edges[::2], edges[1::2]))
+    assert {r.node: r.root for r in links.components(first.unionByName(second)).collect()} == want
+    assert {r.node: r.root for r in links.extend(links.components(first), second).collect()} == want
+
+
 def test_tree_loses_no_pair():
     import numpy as np
 
@@ -129,8 +184,7 @@ def test_tree_loses_no_pair():
     upper = rng.integers(0, 9, (300, 16))
     upper[150:] = np.maximum(0, upper[:150] + rng.integers(-1, 2, (150, 16)))
     size, part = upper.sum(axis=1), np.arange(300) // 2
-    a, b = rtree.Tree(upper, size, part).pairs(80, 100)
-    found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    found = {(min(x, y), max(x, y)) for a, b in rtree.Tree(upper, size, part).pairs(80, 100) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
     for x, y in itertools.combinations(range(300), 2):
         bound = int(np.minimum(upper[x], upper[y]).sum())
         if part[x] != part[y] and min(size[x], size[y]) * 100 >= 80 * max(size[x], size[y]) and bound * 180 >= 80 * (size[x] + size[y]):
