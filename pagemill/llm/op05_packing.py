@@ -7,8 +7,12 @@ there are and the sums of pairs and triples; a gap takes the combination that
 fills it exactly, as often as the counts allow at once; what has no exact
 complement is filled best-fit. Each pattern is repeated, so the plan has a few
 thousand rows. Pieces find their place by their rank among pieces of equal length:
-ranks come from counts by (length, bucket) and a window inside a bucket, so the
-most frequent length is split over buckets.
+ranks come from counts by (length, bucket) and a window inside a bucket; a length
+has as many buckets as its rows need.
+
+Ids are those of the tokenizers library for a file of its own, also where a text
+spells a token that was added to the vocabulary. A very long text is many pieces.
+Extra columns are not touched.
 
 Nulls: a null text is empty, and an empty text is the end token alone. Repeated
 rows are packed each. A null id is kept. An empty table gives no pieces.
@@ -16,7 +20,7 @@ rows are packed each. A null id is kept. An empty table gives no pieces.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,26 +35,71 @@ from pagemill.llm import words
 from pagemill.llm.common import HIDE, cut, table
 
 SIZE, END = 2048, 0
-#: The ranks of the vocabulary whose other form is byte_bpe_50k.json: the same ids, read by a faster library.
-VOCABULARY = "byte_bpe_50k.tiktoken"
-BUCKETS = 64
+VOCABULARY = "byte_bpe_50k.json"
+#: Pieces of one length that one task ranks, and the number of buckets beyond which buckets grow instead.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 13, 1 << 16
+#: Bytes of runs that a task remembers the ids of.
+MEMORY = 16 << 20
+#: The characters with the property White_Space.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs that no token of a byte-level vocabulary crosses: its words take one space in front and have no other.
+_RUN = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+
+
+class Encoder:
+    """Ids of texts by a tokenizers file, without special tokens added; each distinct run is tokenised once.
+
+    The ids of a text are those of its runs, in order. A text in which a token that
+    was added to the vocabulary occurs is handed to the tokenizer as a whole.
+    """
 
+    def __init__(self, path: str) -> None:
+        import os
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """Function from a text to its ids; ``path`` is a rank file (.tiktoken) or a tokenizers file (.json)."""
-    if path.endswith(".json"):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        return lambda text: whole.encode(text, add_special_tokens=False).ids
-    import public_tokenizers
-    import tiktoken
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.start, self.bytes = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
+
+    def _learn(self, runs: list[str]) -> None:
+        self.bytes += sum(map(len, runs))
+        found = [e.ids for e in self.whole.encode_batch(runs, add_special_tokens=False)]
+        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), "<u4", int(sizes.sum()))])
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        runs, ends, own = [], [], {}
+        for n, text in enumerate(texts):
+            if any(t in text for t in self.added):
+                own[n] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+            else:
+                runs += _RUN.findall(text)
+            ends.append(len(runs))
+        distinct = set(runs)
+        if new := distinct - self.known.keys():
+            if self.bytes + sum(map(len, new)) > MEMORY:
+                self._forget()
+                new = distinct
+            self._learn(sorted(new))
+        which = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        first, sizes = self.start[which], self.start[which + 1] - self.start[which]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(first - upto[:-1], sizes) + np.arange(upto[-1])]
+        for n, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            yield own[n] if n in own else flat[upto[a] : upto[b]]
+
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def vocabulary_path() -> str:
@@ -68,8 +117,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         for whole in batches:
             for batch in words.slices(whole, 1, 1 << 20):
                 ids, rows = batch.column(0), []
-                for n, value in enumerate(batch.column(1).fill_null("").to_pylist()):
-                    tokens = np.array([*encode(value), END], "<u4")
+                for n, found in enumerate(encode(batch.column(1).fill_null("").to_pylist())):
+                    tokens = np.append(found, np.uint32(END)).astype("<u4")
                     head = (len(tokens) - 1) % size + 1
                     cuts = [0, *range(head, len(tokens) + 1, size)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -173,19 +222,23 @@ def slots(patterns) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(cut_pieces: DataFrame, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
+def pack(cut_pieces: DataFrame, size: int = SIZE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds sequence_id and offset to rows with ``length`` and a unique ``__pm_uid``."""
     uid, bucket, rank = HIDE + "uid", HIDE + "bucket", HIDE + "rank"
-    rows = cut_pieces.withColumn(bucket, F.pmod(F.xxhash64(uid), F.lit(buckets)))
-    # at most size * buckets counts: a fixed bound
-    counts = rows.groupBy("length", bucket).count()
-    base = counts.withColumn(HIDE + "base", F.sum("count").over(W.partitionBy("length").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)))
+    spark = cut_pieces.sparkSession
     totals = np.zeros(size + 1, np.int64)
-    bases: dict[int, np.ndarray] = {}
-    for length, b, n, before in base.collect():
-        totals[length] += n
-        bases.setdefault(length, np.zeros(buckets, np.int64))[b] = before or 0
-    sent = cut_pieces.sparkSession.sparkContext.broadcast((slots(plan(totals)), bases))
+    for length, n in cut_pieces.groupBy("length").count().collect():
+        totals[length] = n
+    # a length has as many buckets as its rows need: size + MOST_BUCKETS counts at most
+    buckets = np.maximum(1, -(-totals // max(bucket_rows, -(-int(totals.sum()) // MOST_BUCKETS))))
+    of_length = spark.createDataFrame([(int(n), int(buckets[n])) for n in np.flatnonzero(totals)], f"{HIDE}length long, {HIDE}buckets long")
+    rows = cut_pieces.join(F.broadcast(of_length), F.col("length") == F.col(HIDE + "length"))
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(uid), F.col(HIDE + "buckets"))).drop(HIDE + "length", HIDE + "buckets")
+    bases: dict[int, np.ndarray] = {int(n): np.zeros(buckets[n] + 1, np.int64) for n in np.flatnonzero(totals)}
+    for length, b, n in rows.groupBy("length", bucket).count().collect():
+        bases[length][b + 1] = n
+    bases = {length: np.cumsum(n) for length, n in bases.items()}
+    sent = spark.sparkContext.broadcast((slots(plan(totals)), bases))
 
     ranked = rows.withColumn(rank, F.row_number().over(W.partitionBy("length", bucket).orderBy(uid)) - 1)
 
