@@ -6,7 +6,8 @@ describes the samples read back. Payloads are made of whole texts.
 
 Nulls: a null text is an empty payload, padded like any other; a null or broken
 media value gives null pixels. Empty tables give empty results, equal texts equal
-values. Extra columns stay. Payloads up to 1 GiB fit one image.
+values; ties and repeated rows are coded each by itself. Extra columns stay in
+``from_media`` and are not touched by the query. Payloads up to 256 MiB fit one image.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm import webp, words
+from pagemill.llm import webp, webp_writer, words
 from pagemill.llm.common import table
 
 BLOCK = 64
@@ -41,7 +42,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                 raw = batch.column(1).fill_null("").cast(pa.large_binary()).to_pylist()
                 payloads = [padded(t) for t in raw]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(list(map(len, payloads)), pa.int64()), pa.array([webp.encode(p) for p in payloads], pa.binary())],
+                    [batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(list(map(len, payloads)), pa.int64()), pa.array(webp_writer.encode_many(payloads), pa.binary())],
                     names=[id_col, "n_bytes", "payload_bytes", "media"],
                 )
 
@@ -50,14 +51,8 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 def decode_all(media) -> list[tuple]:
     """(width, height, pixels as signed ARGB) of each WebP file; nulls for what is none."""
-    rows = []
-    for value in media:
-        try:
-            width, height, pixels = webp.decode(bytes(value))
-            rows.append((width, height, pixels.astype(np.uint32).view(np.int32)))
-        except (webp.WebPError, TypeError, IndexError):
-            rows.append((None, None, None))
-    return rows
+    found = webp.decode_many([bytes(v) if v is not None else b"" for v in media])
+    return [(None, None, None) if x is None else (x[0], x[1], x[2].astype(np.uint32).view(np.int32)) for x in found]
 
 
 def from_media(df: DataFrame, media: str = "media", into: str = "image") -> DataFrame:
@@ -88,9 +83,9 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for n, stored in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                data = stored.as_py()
-                payload = webp.samples(webp.decode(data)[2])[:n]
+            files = batch.column(3).to_pylist()
+            for n, data, (_, _, pixels) in zip(batch.column(2).to_pylist(), files, decode_all(files), strict=True):
+                payload = webp.samples(pixels.view(np.uint32))[:n].tobytes()
                 rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), describe(np.frombuffer(payload, np.uint8))))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -1,19 +1,26 @@
-"""Lossless WebP (VP8L): a decoder of the whole format and an encoder for byte payloads.
+"""Lossless WebP (VP8L): a decoder of the whole format, and reading of many images at once.
 
 Pixels are uint32 in ARGB order. The decoder reads prefix codes (simple and
 normal, with meta groups), literals, back-references with the short-distance
 table, the colour cache, and the predictor, cross-colour, subtract-green and
-palette transforms. Images whose codes are all of one length, as the encoder
-writes for incompressible rows, are unpacked in one numpy pass.
+palette transforms.
+
+Codes are read by table. Images without meta groups and colour cache whose red, blue
+and alpha codes have one symbol (grey ones after subtract-green, palette ones) are
+decoded side by side: each step reads one symbol of every image that goes on, and
+back-references are followed for all at the end.
 """
 
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
 MOST_SIDE = 1 << 14
+#: Pixels of an image that is decoded beside others, images that are worth it, and pixels decoded together.
+MOST_PLAIN, FEW, TOGETHER = 1 << 24, 24, 1 << 25
 
 #: Fixed values of the format: order in which lengths of code-length codes come.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -42,40 +49,56 @@ class Bits:
     def __init__(self, data: bytes) -> None:
         self.data, self.pos = data, 0
 
-    def read(self, n: int) -> int:
+    def peek(self, n: int) -> int:
         at, shift = self.pos >> 3, self.pos & 7
-        if self.pos + n > 8 * len(self.data):
-            raise WebPError("truncated")
-        self.pos += n
         return (int.from_bytes(self.data[at : at + 5], "little") >> shift) & ((1 << n) - 1)
 
+    def skip(self, n: int) -> None:
+        self.pos += n
+        if self.pos > 8 * len(self.data):
+            raise WebPError("truncated")
+
+    def read(self, n: int) -> int:
+        value = self.peek(n)
+        self.skip(n)
+        return value
+
+
+@lru_cache(maxsize=16)
+def reversal(bits: int) -> np.ndarray:
+    """For every number of so many bits the number with its bits in the other order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
+
 
 class Code:
-    """A canonical prefix code; ``lengths`` maps symbols to code lengths."""
-
-    def __init__(self, lengths: dict[int, int]) -> None:
-        self.lengths = {s: n for s, n in lengths.items() if n}
-        self.table: dict[tuple[int, int], int] = {}
-        self.only = next(iter(self.lengths), 0) if len(self.lengths) < 2 else None
-        value = before = 0
-        for symbol, n in sorted(self.lengths.items(), key=lambda x: (x[1], x[0])):
-            value <<= n - before
-            if value >> n:
-                raise WebPError("too many codes of a length")
-            self.table[n, value] = symbol
-            value, before = value + 1, n
-        if self.only is None and value != 1 << before:
-            raise WebPError("incomplete code")
+    """A canonical prefix code, from the lengths of all symbols: a table by the next ``bits`` bits of symbol << 4 | length."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        used = np.flatnonzero(lengths)
+        self.single = len(used) < 2
+        if self.single:
+            self.bits, self.table = 0, np.array([int(used[0]) << 4 if len(used) else 0])
+        else:
+            order = used[np.argsort(lengths[used], kind="stable")]
+            n = lengths[order].astype(np.int64)
+            self.bits = int(n[-1])
+            span = 1 << (self.bits - n)
+            if span.sum() != 1 << self.bits:
+                raise WebPError("not a complete code")
+            self.table = np.repeat(order << 4 | n, span)[reversal(self.bits)]
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        value = 0
-        for n in range(1, 16):
-            value = value << 1 | bits.read(1)
-            if (found := self.table.get((n, value))) is not None:
-                return found
-        raise WebPError("no such code")
+        entry = int(self.table[bits.peek(self.bits)])
+        bits.skip(entry & 15)
+        return entry >> 4
+
+
+@lru_cache(maxsize=64)
+def _small_code(lengths: tuple[int, ...]) -> Code:
+    return Code(np.array(lengths))
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
@@ -84,11 +107,15 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         symbols = [bits.read(8 if bits.read(1) else 1)]
         if two:
             symbols.append(bits.read(8))
-        return Code({s: 1 for s in symbols})
-    first = {}
+        if max(symbols) >= alphabet:
+            raise WebPError("symbol out of range")
+        simple = np.zeros(alphabet, np.int64)
+        simple[symbols] = 1
+        return Code(simple)
+    first = [0] * len(CODE_LENGTH_ORDER)
     for k in range(4 + bits.read(4)):
         first[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = Code(first)
+    code = _small_code(tuple(first))
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     lengths, last = [], 8
     while len(lengths) < alphabet and most:
@@ -102,7 +129,7 @@ def read_code(bits: Bits, alphabet: int) -> Code:
             lengths += [value] * (least + bits.read(extra))
     if len(lengths) > alphabet:
         raise WebPError("too many code lengths")
-    return Code(dict(enumerate(lengths)))
+    return Code(np.array(lengths + [0] * (alphabet - len(lengths))))
 
 
 def _prefixed(bits: Bits, symbol: int) -> int:
@@ -113,23 +140,16 @@ def _prefixed(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _flat(bits: Bits, group: list[Code], n: int) -> np.ndarray | None:
-    """Pixels of an image whose four channels have 256 codes of 8 bits, or None."""
-    if any(len(c.lengths) != 256 or set(c.lengths.values()) != {8} or max(c.lengths) > 255 for c in group[:4]):
-        return None
-    if bits.pos + 32 * n > 8 * len(bits.data):
-        raise WebPError("truncated")
-    at, shift = bits.pos >> 3, bits.pos & 7
-    body = np.frombuffer(bits.data, np.uint8, 4 * n + (shift > 0), at).astype(np.uint16)
-    if shift:
-        body = (body[:-1] >> shift | body[1:] << (8 - shift)) & 255
-    sample = _REVERSED[body].reshape(n, 4).astype(np.uint32)
-    bits.pos += 32 * n
-    return sample[:, 3] << 24 | sample[:, 1] << 16 | sample[:, 0] << 8 | sample[:, 2]
+def _distance(value: int, width: int) -> int:
+    """Pixels back, of a distance that was read."""
+    if value > len(SHORT_DISTANCES):
+        return value - len(SHORT_DISTANCES)
+    dx, dy = SHORT_DISTANCES[value - 1]
+    return max(1, dx + dy * width)
 
 
-def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
-    """One entropy-coded image; only the top one may have meta codes."""
+def read_pixels(bits: Bits, width: int, height: int, top: bool, later: bool = False) -> np.ndarray | list[Code]:
+    """One entropy-coded image; only the top one may have meta codes. With ``later``, of a plain one the codes, its body unread."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise WebPError("colour cache too large")
@@ -141,8 +161,8 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     groups = [[read_code(bits, a) for a in (256 + 24 + cache_size, 256, 256, 256, 40)] for _ in range(1 + (int(meta.max()) if meta is not None else 0))]
     n = width * height
-    if meta is None and not cache_bits and (flat := _flat(bits, groups[0], n)) is not None:
-        return flat
+    if later and meta is None and not cache_bits and n <= MOST_PLAIN and all(c.single for c in groups[0][1:4]):
+        return groups[0]
     out = np.zeros(n, np.uint32)
     cache = [0] * cache_size
     at = cached = 0
@@ -161,12 +181,7 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
             at += 1
         elif symbol < 280:
             length = _prefixed(bits, symbol - 256)
-            distance = _prefixed(bits, group[4].read(bits))
-            if distance > 120:
-                distance -= 120
-            else:
-                dx, dy = SHORT_DISTANCES[distance - 1]
-                distance = max(1, dx + dy * width)
+            distance = _distance(_prefixed(bits, group[4].read(bits)), width)
             if distance > at or at + length > n:
                 raise WebPError("back-reference out of range")
             for k in range(at, at + length):
@@ -242,8 +257,8 @@ def undo_cross_colour(pixels: np.ndarray, width: int, height: int, tile: int, el
     return _packed(ch.reshape(-1, 4))
 
 
-def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, ARGB pixels) of one RIFF file, simple or extended; its first lossless image chunk counts."""
+def _open(data: bytes) -> tuple[int, int, int, list, Bits]:
+    """(width, height, width of the coded image, transforms to undo, bits from the image on) of a RIFF file, simple or extended."""
     if len(data) < 25 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise WebPError("not a WebP file")
     at = 12
@@ -303,90 +318,186 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
                 return palette[index].reshape(-1)
 
             undo.append(paint)
+    return width, height, wide, undo, bits
+
+
+def decode(data: bytes) -> tuple[int, int, np.ndarray]:
+    """(width, height, ARGB pixels) of one file; its first lossless image chunk counts."""
+    width, height, wide, undo, bits = _open(data)
     pixels = read_pixels(bits, wide, height, True)
     for step in reversed(undo):
         pixels = step(pixels)
     return width, height, pixels
 
 
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
-
-
-class Writer:
-    """Collects bits from the lowest up."""
-
-    def __init__(self) -> None:
-        self.value, self.n = 0, 0
-
-    def put(self, value: int, n: int) -> Writer:
-        self.value |= value << self.n
-        self.n += n
-        return self
-
-    def bytes(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
-
-
-def _put_flat_code(w: Writer, alphabet: int) -> None:
-    """A normal code whose first 256 symbols have 8 bits and whose others have none."""
-    w.put(0, 1)  # not a simple code
-    # code-length symbols 8, 16 (repeat) and 18 (zeros): lengths 1, 2, 2
-    used = {8: 1, 16: 2, 18: 2}
-    last = max(CODE_LENGTH_ORDER.index(s) for s in used)
-    w.put(last + 1 - 4, 4)
-    for symbol in CODE_LENGTH_ORDER[: last + 1]:
-        w.put(used.get(symbol, 0), 3)
-    w.put(0, 1)  # lengths of the whole alphabet
-    eight, repeat, zeros = (0, 1), (1, 2), (3, 2)  # canonical codes 0, 10, 11, first bit lowest
-    w.put(*eight)
-    for _ in range(42):  # 255 = 42 * 6 + 3
-        w.put(*repeat).put(3, 2)
-    w.put(*repeat).put(0, 2)
-    if alphabet > 256:
-        w.put(*zeros).put(alphabet - 256 - 11, 7)
-
-
-def _header(width: int, height: int) -> Writer:
-    w = Writer().put(width - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)
-    w.put(0, 1)  # no transform
-    w.put(0, 1).put(0, 1)  # no colour cache, no meta codes
-    for alphabet in (280, 256, 256, 256):
-        _put_flat_code(w, alphabet)
-    return w.put(1, 1).put(0, 1).put(0, 1).put(0, 1)  # distances: a simple code of one symbol
-
-
-def _riff(body: bytes) -> bytes:
-    pad = len(body) & 1
-    return b"RIFF" + struct.pack("<I", 4 + 8 + len(body) + pad) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + b"\0" * pad
-
-
-def encode(payload: bytes) -> bytes:
-    """A payload whose length is a positive multiple of 64, as ARGB samples in the order of the bytes."""
-    n = len(payload) // 4
-    width = 16
-    height = n // width
-    if height > MOST_SIDE:  # the last row is filled up; the decoder's caller knows the length
-        width = min(MOST_SIDE, 1 << (-(-n // MOST_SIDE) - 1).bit_length())
-        height = -(-n // width)
-    if height > MOST_SIDE:
-        raise WebPError("payload over 1 GiB")
-    sample = np.zeros((width * height, 4), np.uint8)
-    sample[:n] = np.frombuffer(payload, np.uint8).reshape(n, 4)
-    w = _header(width, height)
-    # written order is green, red, blue, alpha; a byte's code is its own bits, highest first
-    body = _REVERSED[sample[:, [2, 1, 3, 0]]].reshape(-1)
-    shift = w.n & 7
-    head = w.bytes()
-    if shift:
-        wide = body.astype(np.uint16) << shift
-        out = np.zeros(len(body) + 1, np.uint16)
-        out[:-1] = wide & 255
-        out[1:] |= wide >> 8
-        out[0] |= head[-1]
-        return _riff(b"\x2f" + head[:-1] + out.astype(np.uint8).tobytes())
-    return _riff(b"\x2f" + head + body.tobytes())
-
-
-def samples(pixels: np.ndarray) -> bytes:
-    """ARGB samples in byte order."""
-    return pixels.astype(">u4").tobytes()
+def decode_many(files: list[bytes]) -> list[tuple[int, int, np.ndarray] | None]:
+    """``decode`` of every file, None for what is no lossless WebP; plain images side by side."""
+    out: list[tuple[int, int, np.ndarray] | None] = [None] * len(files)
+    plain, pending = [], 0
+
+    def finish() -> None:
+        for (k, width, height, _, undo, _, group), green in zip(plain, _side_by_side(plain), strict=True):
+            if green is not None:
+                red, blue, alpha = (int(c.table[0]) >> 4 for c in group[1:4])
+                pixels = green.astype(np.uint32) << 8 | np.uint32(alpha << 24 | red << 16 | blue)
+                for step in reversed(undo):
+                    pixels = step(pixels)
+                out[k] = width, height, pixels
+        plain.clear()
+
+    for k, data in enumerate(files):
+        try:
+            width, height, wide, undo, bits = _open(data)
+            found = read_pixels(bits, wide, height, True, later=True)
+        except (WebPError, TypeError, IndexError):
+            continue
+        if isinstance(found, list):
+            plain.append((k, width, height, wide, undo, bits, found))
+            pending += wide * height
+            if pending >= TOGETHER:
+                finish()
+                pending = 0
+        else:
+            for step in reversed(undo):
+                found = step(found)
+            out[k] = width, height, found
+    finish()
+    return out
+
+
+def _extra(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(extra bits, least value) of length or distance prefixes."""
+    bits = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    return bits, np.where(symbol < 4, symbol, (2 + (symbol & 1)) << bits) + 1
+
+
+def _side_by_side(images: list[tuple]) -> list[np.ndarray | None]:
+    """Green samples of plain images, None where the bits are broken."""
+    if not images:
+        return []
+    bodies = [x[5].data for x in images]
+    at = np.cumsum([0, *map(len, bodies)])
+    data = np.frombuffer(b"".join(bodies) + bytes(16), np.uint8)
+    word = np.ndarray((len(data) - 8,), "<i8", data.tobytes(), strides=(1,))
+    tables, first, mask = [], [], []
+    for k in (0, 4):
+        codes = [x[6][k] for x in images]
+        size = [len(c.table) for c in codes]
+        tables.append(np.concatenate([c.table for c in codes]))
+        first.append(np.cumsum(size) - size)
+        mask.append(np.array(size) - 1)
+    sizes = np.array([x[2] * x[3] for x in images])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    limit = 8 * at[1:]
+    pos = 8 * at[:-1] + np.array([x[5].pos for x in images])
+    out = np.zeros(int(ends[-1]), np.uint8)
+    copies: list[tuple[np.ndarray, ...]] = []
+    bad = np.zeros(len(images), bool)
+    width = np.array([x[3] for x in images])
+    short = np.array(SHORT_DISTANCES)
+    top = len(word) - 1
+
+    def peek(p: np.ndarray) -> np.ndarray:
+        return word[np.minimum(p >> 3, top)] >> (p & 7)
+
+    own = np.flatnonzero(sizes)
+    p, o = pos[own], starts[own]
+    end, base, cover = ends[own], first[0][own], mask[0][own]
+    while len(own) >= FEW:
+        entry = tables[0][base + (peek(p) & cover)]
+        p += entry & 15
+        entry >>= 4
+        copy = np.flatnonzero(entry >= 256)
+        if len(copy):
+            literal = entry < 256
+            out[o[literal]] = entry[literal]
+            q, who = p[copy], own[copy]
+            bits, least = _extra(entry[copy] - 256)
+            length = least + (peek(q) & ((1 << bits) - 1))
+            q += bits
+            symbol = tables[1][first[1][who] + (peek(q) & mask[1][who])]
+            q += symbol & 15
+            bits, least = _extra(symbol >> 4)
+            distance = least + (peek(q) & ((1 << bits) - 1))
+            p[copy] = q + bits
+            near = np.minimum(distance, len(short)) - 1
+            distance = np.where(distance > len(short), distance - len(short), np.maximum(1, short[near, 0] + short[near, 1] * width[who]))
+            wrong = (distance > o[copy] - starts[who]) | (o[copy] + length > end[copy])
+            if wrong.any():
+                bad[who[wrong]] = True
+                length = np.where(wrong, end[copy] - o[copy], length)
+                distance = np.where(wrong, 0, distance)
+            copies.append((o[copy], length, distance))
+            step = np.ones(len(own), np.int64)
+            step[copy] = length
+            o += step
+        else:
+            out[o] = entry
+            o += 1
+        more = o < end
+        if not more.all():
+            pos[own] = p
+            own, p, o, end, base, cover = (x[more] for x in (own, p, o, end, base, cover))
+    pos[own] = p
+    for k, done in zip(own.tolist(), o.tolist(), strict=True):
+        try:
+            copies.append(_one_by_one(images[k], out[starts[k] : ends[k]], int(done - starts[k]), int(p[own == k][0] - 8 * at[k])))
+            copies[-1] = (copies[-1][0] + starts[k], *copies[-1][1:])
+        except WebPError:
+            bad[k] = True
+    bad |= pos > limit
+    if copies:
+        begin, length, distance = (np.concatenate(c) for c in zip(*copies, strict=True))
+        _follow(out, begin, length, distance)
+    return [None if b else out[x:y] for b, x, y in zip(bad.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _one_by_one(image: tuple, out: np.ndarray, at: int, pos: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Reads on in one image: literals go to ``out``, copies (start, length, distance) are returned."""
+    _, _, _, width, _, bits, group = image
+    data, limit, n = bits.data, 8 * len(bits.data), len(out)
+    green, mask = group[0].table.tolist(), len(group[0].table) - 1
+    reader = Bits(data)
+    copies, literals, places = [], [], []
+    while at < n:
+        entry = green[int.from_bytes(data[pos >> 3 : (pos >> 3) + 4], "little") >> (pos & 7) & mask]
+        pos += entry & 15
+        symbol = entry >> 4
+        if symbol < 256:
+            literals.append(symbol)
+            places.append(at)
+            at += 1
+            continue
+        reader.pos = pos
+        length = _prefixed(reader, symbol - 256)
+        distance = _distance(_prefixed(reader, group[4].read(reader)), width)
+        pos = reader.pos
+        if distance > at or at + length > n:
+            raise WebPError("back-reference out of range")
+        copies.append((at, length, distance))
+        at += length
+    if pos > limit:
+        raise WebPError("truncated")
+    out[places] = literals
+    return tuple(np.array(c, np.int64) for c in zip(*copies, strict=True)) if copies else (np.zeros(0, np.int64),) * 3
+
+
+def _follow(out: np.ndarray, begin: np.ndarray, length: np.ndarray, distance: np.ndarray) -> None:
+    """Fills what copies cover: every place points back until it meets a literal; pointers are doubled."""
+    total = int(length.sum())
+    place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(total)
+    to = np.arange(len(out), dtype=np.int32 if len(out) < 1 << 31 else np.int64)
+    to[place] = place - np.repeat(distance, length)
+    left = place
+    while len(left):
+        further = to[to[left]]
+        moved = further != to[left]
+        to[left] = further
+        left = left[moved]
+    out[place] = out[to[place]]
+
+
+def samples(pixels: np.ndarray) -> np.ndarray:
+    """The 8-bit samples of a grey image: its green channel."""
+    return (pixels >> 8).astype(np.uint8)

@@ -90,15 +90,16 @@ def bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range (ordered, disjoint), A-Z lowered."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each byte range (ordered, disjoint), A-Z lowered unless told otherwise."""
     out = np.zeros(len(starts), U64)
     i = 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             at = int(starts[i])
             j = max(i + 1, int(np.searchsorted(ends, at + SEGMENT, side="right")))
-            part = _LOWER[data[at : int(ends[j - 1])]].astype(U64)
+            part = data[at : int(ends[j - 1])]
+            part = (_LOWER[part] if lower else part).astype(U64)
             part += U64(1)
             part *= _power("up", _M, len(part))
             run = np.zeros(len(part) + 1, U64)

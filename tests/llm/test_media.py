@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagemill.llm import op04_media, webp
+from pagemill.llm import op04_media, webp, webp_writer
 
 
 def canonical(lengths):
@@ -87,11 +87,11 @@ def image(w, items, cache_bits=0, top=True):
 
 
 def start(width, height):
-    return webp.Writer().put(width - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)
+    return webp_writer.Writer().put(width - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)
 
 
 def finish(w):
-    return webp._riff(b"\x2f" + w.bytes())
+    return webp_writer._riff(b"\x2f" + w.bytes())
 
 
 def plain(width, height, pixels):
@@ -109,15 +109,71 @@ def random_pixels(n, seed=0, colours=None):
 @settings(max_examples=60, deadline=None)
 def test_payload_round_trip(data):
     payload = op04_media.padded(data)
-    stored = webp.encode(payload)
+    stored = webp_writer.encode(payload)
     width, height, pixels = webp.decode(stored)
-    assert webp.samples(pixels)[: len(payload)] == payload and width * height * 4 >= len(payload)
+    assert webp.samples(pixels)[: len(payload)].tobytes() == payload and width * height >= len(payload)
+    assert all((p == pixels).all() for _, _, p in webp.decode_many([stored] * 30))
 
 
 def test_large_payload_is_wider():
     payload = bytes(range(256)) * 4 * (1 << 11)
-    width, height, pixels = webp.decode(webp.encode(payload))
-    assert width > 16 and webp.samples(pixels)[: len(payload)] == payload
+    (width, height, pixels), *_ = webp.decode_many([webp_writer.encode(payload)])
+    assert width > 64 and webp.samples(pixels)[: len(payload)].tobytes() == payload
+
+
+def test_real_texts_take_the_codec(docs, spark, folder, monkeypatch):
+    """Documents go through prefix codes and back-references, beside each other, and get smaller; scalar decoding agrees."""
+    payloads = [op04_media.padded((r.text or "").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    payloads += [op04_media.padded((r.text or "").encode()) for r in docs.collect()]
+    files = webp_writer.encode_many(payloads)
+    assert files == [webp_writer.encode(p) for p in payloads]
+    followed = []
+    inner = webp._follow
+    monkeypatch.setattr(webp, "_follow", lambda out, begin, *rest: (followed.append(len(begin)), inner(out, begin, *rest)))
+    got = webp.decode_many(files)
+    assert sum(followed) > len(payloads)
+    for payload, file, (_, _, pixels) in zip(payloads, files, got, strict=True):
+        assert webp.samples(pixels)[: len(payload)].tobytes() == payload
+        assert len(payload) < 600 or len(set(payload)) < 17 or len(file) < 0.8 * len(payload)
+    for k in range(0, len(files), 9):
+        if len(payloads[k]) < 20000:
+            assert (webp.decode(files[k])[2] == got[k][2]).all()
+
+
+def test_broken_files_beside_good_ones():
+    rng = np.random.default_rng(6)
+    good = [webp_writer.encode(op04_media.padded(bytes(rng.integers(97, 120, 900, np.uint8)) * 2)) for _ in range(40)]
+    mixed = []
+    for k, file in enumerate(good):
+        bad = bytearray(file)
+        if k % 3 == 1:
+            for at in rng.integers(60, len(bad), 12):
+                bad[at] ^= int(rng.integers(1, 256))
+        mixed.append(bytes(bad) if k % 3 != 2 else file[: len(file) - 200] + b"\0" * 200)
+    for file, found in zip(mixed, webp.decode_many([*mixed, b"", b"x" * 90]), strict=False):
+        try:
+            want = webp.decode(file)[2]
+        except webp.WebPError:
+            want = None
+        assert (found is None) == (want is None) and (want is None or (found[2] == want).all())
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(7)
+    for counts in (rng.integers(0, 50, 280), 2 ** np.arange(30), np.array([0, 3, 0]), np.zeros(5, int), np.array([1, 1])):
+        n = webp_writer.code_lengths(counts)
+        assert ((n > 0) == (counts > 0)).all() and n.max(initial=0) <= webp_writer.MOST_BITS
+        assert (counts > 0).sum() < 2 or sum(2.0 ** -x for x in n[n > 0].tolist()) == 1
+
+
+def test_feature_by_hand(docs):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op04_media.features(op04_media.to_media(docs)).collect():
+        payload = op04_media.padded((texts[r.doc_id] or "").encode())
+        n, total = len(payload), sum(payload)
+        hist = ",".join(str(sum(b >> 4 == k for b in payload) * 1000 // n) for k in range(16))
+        bits = "".join("1" if sum(payload[k * n // 64 : (k + 1) * n // 64]) * 64 > total else "0" for k in range(64))
+        assert r.feature == f"mean={total * 1000 // n};hist={hist};ahash={int(bits, 2):016x}"
 
 
 def test_prefix_codes():
@@ -234,20 +290,20 @@ def test_cross_colour():
 
 
 def test_broken_files_are_errors():
-    good = webp.encode(b"x" * 64)
+    good = webp_writer.encode(bytes(range(64)) * 2)
     for bad in (b"", b"RIFF", good[:40], good[:20] + b"\0" + good[21:], b"JUNK" + good[4:]):
         with pytest.raises(webp.WebPError):
             webp.decode(bad)
 
 
 def test_extended_files():
-    simple = webp.encode(b"payload " * 8)
+    simple = webp_writer.encode(b"payload " * 8)
     chunk = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
     riff = lambda body: b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
     size = chunk(b"VP8X", bytes([0x3C, 0, 0, 0, 15, 0, 0, 0, 0, 0]))
     whole = riff(size + chunk(b"ICCP", b"odd") + simple[12:] + chunk(b"EXIF", b"x") + chunk(b"XMP ", b"<x/>"))
     got, want = op04_media.decode_all([whole])[0], op04_media.decode_all([simple])[0]
-    assert got[:2] == want[:2] == (16, 1) and (got[2] == want[2]).all()
+    assert got[:2] == want[:2] == (64, 1) and (got[2] == want[2]).all()
     for bad in (riff(size), riff(size + chunk(b"ANMF", simple[12:])), riff(size + chunk(b"VP8 ", b"lossy one")), whole[:47]):
         with pytest.raises(webp.WebPError):
             webp.decode(bad)
@@ -259,6 +315,6 @@ def test_query_reads_back_what_it_stored(spark, docs, empty):
     assert sorted((str(r.doc_id), r.n_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     assert op04_media.features(op04_media.to_media(empty)).count() == 0
     first = op04_media.from_media(op04_media.to_media(docs).filter("doc_id = 1")).first().image
-    assert first.width == 16 and len(first.pixels) == first.width * first.height
+    assert first.width == 64 and len(first.pixels) == first.width * first.height
     broken = op04_media.from_media(spark.createDataFrame([(None,), (b"junk",)], "media binary")).collect()
     assert [r.image.pixels for r in broken] == [None, None]
