@@ -103,6 +103,47 @@ def test_main_text():
     assert op07_pages.main_text(op07_pages.parse("<div>" * 3000 + "deep")) == "deep"
 
 
+def test_broken_and_wrapped_pages():
+    text = lambda h: op07_pages.main_text(op07_pages.parse(h))
+    assert text("<form><h1>T</h1><p>some long text here</p><input value=x><select><option>o</select></form>") == "T\nsome long text here"
+    assert text("<form id=f><article>k</article><label>z</label></form>") == "k" and text("<p>much more text than in it</p><form>a b</form>") == "much more text than in it"
+    assert text('<article><div class="post header"><h1>Title</h1></div><p>x</p><div class="header">site</div></article>') == "Title\nx"
+    assert text('<article><div class="header comments"><h1>Title</h1></div><p>x</p></article>') == "x"
+    assert text("<article><header><h2>T</h2></header>b</article>") == "T\nb" and text("<body><header><h2>T</h2></header>b</body>") == "b"
+    assert text('one <a title="x>two three') == "one two three" and text("a <b <i>c") == "a c"
+    import time
+
+    took = []
+    for n in (20000, 80000):
+        began = time.process_time()
+        assert text("<div>" * n + "deep" + "</p></i></div>" * n) == "deep"
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_template_decides_without_articles(spark):
+    """Pages that no tag or class word describes: what recurs on the host goes, whatever it is called, and only there."""
+    page = "<html><body><div class=top><span>Logo {h}</span></div><div><p>Read {h} daily</p></div><div class=text><p>Story {i} of {h}.</p><p>More of {i}.</p></div><div class=low><ul><li>About {h}</li></ul></div></body></html>"
+    rows = [(100 * h + i, f"https://h{h}.example/{i}", page.format(h=h, i=i)) for h, n in enumerate((4, 30, 2)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'old' as text", "'y' as keys")
+    lists = {r.host: len(r["keys"]) for r in op07_pages.template_subtrees(pages).collect()}
+    assert set(lists) == {"h0.example", "h1.example"} and min(lists.values()) >= 3
+    out = op07_pages.extract(pages)
+    assert sorted(out.columns) == ["keys", "page_id", "text", "url"]
+    got = {r.page_id: r.text for r in out.collect()}
+    assert all(got[100 * h + i] == f"Story {i} of {h}.\nMore of {i}." for h, n in ((0, 4), (1, 30)) for i in range(n))
+    assert got[200] == "Logo 2\nRead 2 daily\nStory 0 of 2.\nMore of 0.\nAbout 2"
+
+
+def test_hosts_in_several_parts(spark, monkeypatch):
+    page = "<body><div><b>Menu</b></div><p>Story {0}</p></body>"
+    pages = spark.createDataFrame([(i, "http://a.example/" + str(i), page.format(i)) for i in range(50)], "page_id long, url string, html string")
+    for salt, broadcast in ((7, 50), (7, 0)):
+        monkeypatch.setattr(op07_pages, "SALT_PAGES", salt)
+        monkeypatch.setattr(op07_pages, "BROADCAST_ROWS", broadcast)
+        assert sorted(r.text for r in op07_pages.extract(pages).collect()) == sorted(f"Story {i}" for i in range(50))
+
+
 def test_pages_of_the_table(spark):
     import html
 
@@ -116,7 +157,7 @@ def test_pages_of_the_table(spark):
 
 def test_site_template_goes(spark):
     body = "<html><body><div><p>Welcome to our site</p></div><div><p>story {0} about thing {0}</p></div><table><tr><td>All rights kept</td></tr></table></body></html>"
-    rows = [(i, "http://a.example/x" if i < 40 else "http://b.example/", body.format(i)) for i in range(43)] + [(90, None, None), (91, None, ""), (92, "http://a.example/", "<p>other")]
+    rows = [(i, "http://a.example/x" if i < 40 else "http://b.example/", body.format(i)) for i in range(42)] + [(90, None, None), (91, None, ""), (92, "http://a.example/", "<p>other")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as host", "1 as n", "2 as key")
     got = {r.page_id: r for r in op07_pages.extract(pages).collect()}
     assert got[3].text == "story 3 about thing 3" and got[3].host == "x" and got[3].key == 2
@@ -142,7 +183,11 @@ def test_copied_pages_are_no_template(spark):
     assert got[103] == "Story 0" and got[145] == "Story 16"
     few = [(i, "http://a.example/", plain.format(i % 5)) for i in range(50)]
     got = {r.page_id: r.text for r in op07_pages.extract(spark.createDataFrame(few, "page_id long, url string, html string")).collect()}
-    assert got[7] == "Menu of site\nT2\nStory 2"
+    # five distinct pages; two are no evidence
+    assert got[7] == "T2\nStory 2"
+    few = [(i, "http://a.example/", plain.format(i % 2)) for i in range(50)]
+    got = {r.page_id: r.text for r in op07_pages.extract(spark.createDataFrame(few, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Menu of site\nT1\nStory 1"
 
 
 def test_menus_of_a_section_go(spark):
