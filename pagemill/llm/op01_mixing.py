@@ -7,15 +7,19 @@ at every node, sequential hypergeometric draws send part of each source's quota
 left and the rest right, so each output shard gets an exact number of blocks of
 random composition, without permuting all blocks together. Each shard then takes
 its range of the source's permuted blocks, and rows are ordered by a hash inside
-the shard. The last block of a source is drawn document by document, so that the
-words taken come near the target.
-
-Per-source rows, per-block rows and one array of quotas for each tree node are
-all that meets in one place; documents never shuffle for the decision (only a
-broadcast or shuffled join on the block), and a hot source is many blocks.
-
-Nulls: a null source is a source of its own, a null text has size 0. Sizes of 0
-are never drawn unless they lie in a drawn block. Repeated rows count each.
+the shard. Where the next block of a source would pass its target, that block and a
+few after it give single documents, so that the words taken come near the target.
+
+Per-source rows, ranges of a source's blocks and one array of quotas for each tree
+node are all that meets in one place; documents never shuffle for the decision
+(only a broadcast or shuffled join on the block), and a hot source is many blocks.
+
+Nulls: a null source is a source of its own, a null text has size 0, a null id is
+kept. Texts of size 0 are taken only with a whole block. A very long text makes its
+block long; it is passed over where it does not fit, and others come instead.
+Repeated rows count each, and each is drawn by itself. Sources of equal name are
+one; ties in an order are broken by keys. An empty table gives no rows. Extra columns
+stay as they are, whatever their names; helper columns begin with ``__pm_``.
 """
 
 from __future__ import annotations
@@ -31,11 +35,14 @@ from pagemill.llm.common import HIDE, cut, table
 SEED = 20240229
 #: Words that a block should hold, and the most documents.
 BLOCK_WORDS, BLOCK_DOCS = 8192, 512
-#: Blocks of a source at most: larger sources have larger blocks.
-MOST_BLOCKS = 1 << 16
+#: Blocks that one task orders, blocks after the last whole one that give single documents, and rounds over those.
+RANGE_ROWS, SPARE, ROUNDS = 1 << 14, 8, 4
+#: Equal rows that one task numbers.
+CHUNK = 1 << 16
 #: Rows of the table of sources up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
-SHARDS = 64
+#: Shards at least, and blocks that a shard should hold.
+SHARDS, SHARD_BLOCKS = 64, 4096
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -153,11 +160,32 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
     return cut(nodes.select(F.col("node").alias("shard"), "quota"))
 
 
-def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
-    """From (key, source, size) rows: those rows with their block, and for each block what is drawn of it.
+def _running(rows: DataFrame, key: list[str], count: str, sums: dict[str, str], order: list[str]) -> DataFrame:
+    """Adds, for rows in ``order`` (whose first column is a 64-bit hash) within ``key``, sums of columns up to and with the row.
 
-    A block row has ``draws``: array of (epoch, shard, part); part is null for the
-    whole block, else the words still wanted of it.
+    A key with ``count`` rows is cut into ranges of the hash that hold some
+    ``RANGE_ROWS`` rows each, so no task sorts a whole key.
+    """
+    ranges = F.greatest(F.lit(1), F.ceil(F.col(count) / RANGE_ROWS)).cast("double")
+    share = (F.col(order[0]).cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
+    cut_rows = rows.withColumn("__pm_range", F.least(F.floor(share * ranges), ranges - 1).cast("long"))
+    ends = W.partitionBy(*key).orderBy("__pm_range").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*key, "__pm_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = cut_rows.groupBy(*key, "__pm_range").agg(*(F.sum(v).alias(f"__pm_own_{v}") for v in sums))
+    before = own.select(*key, "__pm_range", *(F.coalesce(F.sum(f"__pm_own_{v}").over(ends), F.lit(0)).alias(f"__pm_before_{v}") for v in sums))
+    out = cut_rows.join(before, [*key, "__pm_range"], "inner")
+    for v, into in sums.items():
+        out = out.withColumn(into, F.col(f"__pm_before_{v}") + F.sum(v).over(inside))
+    return out.drop("__pm_range", *(f"__pm_before_{v}" for v in sums))
+
+
+def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None, seed: int = SEED, block_words: int = BLOCK_WORDS, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
+    """From (key, source, size) rows: those rows with their block, and for each block and epoch what is drawn of it.
+
+    A drawn row has (block, epoch, shard, room): room is null for a whole block, else
+    the words still wanted where the block is the first that no longer fits or one of
+    the ``SPARE`` blocks after it. A document's own block is one of many, so a long one
+    makes only its block long.
     """
     n = len(weights)
     by_source = W.orderBy(F.col("source").asc_nulls_last())
@@ -166,80 +194,128 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("__pm_rank") % n + 1).cast("int"))
     sources = targets(sources.withColumn("weight", weight), share, most)
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words), F.ceil(F.col("docs") / block_docs))
-    sources = cut(sources.withColumn("n_blocks", F.least(F.lit(MOST_BLOCKS), n_blocks).cast("long")))
+    sources = cut(sources.withColumn("n_blocks", n_blocks.cast("long")))
+    known = sources.agg(F.count("*"), F.sum("n_blocks")).first()
+    shards = shards or max(SHARDS, -(-(known[1] or 0) // SHARD_BLOCKS))
 
     side = sources.select(F.col("source").alias("__pm_source"), "source_size", "target", "n_blocks", "__pm_rank")
-    side = F.broadcast(side) if sources.count() <= BROADCAST_ROWS else side
+    side = F.broadcast(side) if known[0] <= BROADCAST_ROWS else side
     dealt = sized.join(side, sized["source"].eqNullSafe(side["__pm_source"]), "inner").drop("__pm_source")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("n_blocks")))
-    blocks = dealt.groupBy("__pm_rank", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
+    blocks = dealt.groupBy("__pm_rank", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("n_blocks").alias("n_blocks"))
 
     # each epoch has a permutation of its own; running words say where the target is reached
     epochs = F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1)))
     drawn = blocks.withColumn("epoch", F.explode(epochs)).withColumn("order", F.xxhash64(F.lit(seed), "__pm_rank", "epoch", "block"))
-    run = W.partitionBy("__pm_rank", "epoch").orderBy("order", "block")
-    before = F.col("epoch") * F.col("source_size") + F.sum("words").over(run.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("words")
-    drawn = drawn.withColumn("left", F.col("target") - before).withColumn("position", F.row_number().over(run))
-    drawn = drawn.filter("left > 0").withColumn("part", F.when(F.col("left") < F.col("words"), F.col("left")))
-    drawn = cut(drawn.withColumn("draw", F.row_number().over(W.partitionBy("__pm_rank").orderBy("epoch", "position"))))
-
-    quotas = sources.select("__pm_rank").join(drawn.groupBy("__pm_rank").agg(F.count("*").alias("q")), "__pm_rank", "left")
+    drawn = _running(cut(drawn.withColumn("one", F.lit(1))), ["__pm_rank", "epoch"], "n_blocks", {"words": "upto", "one": "at"}, ["order", "block"])
+    left = F.col("target") - F.col("epoch") * F.col("source_size") - (F.col("upto") - F.col("words"))
+    drawn = cut(drawn.withColumn("left", left).select("__pm_rank", "block", "epoch", "order", "n_blocks", "one", "words", "at", "left"))
+    whole = drawn.filter("left > 0 and left >= words")
+    # the first block that does not fit, and the next ones of the same permutation
+    edge = drawn.filter("left > 0 and left < words").select("__pm_rank", "epoch", F.col("at").alias("from"), F.col("left").alias("room"))
+    spare = drawn.drop("left").join(edge, ["__pm_rank", "epoch"], "inner").filter(F.col("at").between(F.col("from"), F.col("from") + SPARE))
+    names = ["__pm_rank", "block", "epoch", "order", "n_blocks", "one"]
+    wanted = whole.select(*names, F.lit(None).cast("double").alias("room")).unionByName(spare.select(*names, "room"))
+    # draws of a source, in the order of epoch and permutation
+    wanted = _running(cut(wanted), ["__pm_rank", "epoch"], "n_blocks", {"one": "position"}, ["order", "block"])
+    per_epoch = wanted.groupBy("__pm_rank", "epoch").agg(F.count("*").alias("n"))
+    earlier = per_epoch.withColumn("earlier", F.coalesce(F.sum("n").over(W.partitionBy("__pm_rank").orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    wanted = wanted.join(earlier.drop("n"), ["__pm_rank", "epoch"], "inner").withColumn("draw", F.col("earlier") + F.col("position"))
+    wanted = cut(wanted.select("__pm_rank", "block", "epoch", "room", "draw"))
+
+    quotas = sources.select("__pm_rank").join(wanted.groupBy("__pm_rank").agg(F.count("*").alias("q")), "__pm_rank", "left")
     one = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("__pm_rank", F.coalesce("q", F.lit(0)).cast("long").alias("q")))), lambda s: s["q"]).alias("quota"))
     leaves = splitting_tree(one, shards, seed).select("shard", F.posexplode("quota").alias("__pm_rank", "q"))
     ends = F.sum("q").over(W.partitionBy("__pm_rank").orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow))
     ranges = leaves.withColumn("last", ends).withColumn("first", F.col("last") - F.col("q") + 1).filter("q > 0").drop("q").withColumn("__pm_rank", F.col("__pm_rank").cast("long"))
-    placed = drawn.join(ranges, (drawn["__pm_rank"] == ranges["__pm_rank"]) & F.col("draw").between(F.col("first"), F.col("last")), "inner").drop(ranges["__pm_rank"])
-    per_block = placed.groupBy("__pm_rank", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "part"))).alias("draws"))
-    return dealt, per_block
+    placed = wanted.join(ranges, (wanted["__pm_rank"] == ranges["__pm_rank"]) & F.col("draw").between(F.col("first"), F.col("last")), "inner").drop(ranges["__pm_rank"])
+    return dealt, placed.select("__pm_rank", "block", "epoch", "shard", "room")
+
+
+def _picked(dealt: DataFrame, spare: DataFrame, seed: int) -> DataFrame:
+    """(key, epoch): documents of partly drawn blocks whose words together come just below the room.
+
+    Rounds over the documents of a few blocks a source: in the order of a hash all
+    that fit together are taken, then, of those that fit what is left, all that do.
+    """
+    rest = dealt.join(spare, ["__pm_rank", "block"], "inner").filter("size > 0 and size <= room")
+    rest = cut(rest.select("__pm_rank", "epoch", "key", "size", "room", F.xxhash64(F.lit(seed + 1), "epoch", "key").alias("h")))
+    taken = None
+    by = W.partitionBy("__pm_rank", "epoch").orderBy("h", "key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    for _ in range(ROUNDS):
+        rest = cut(rest.withColumn("upto", F.sum("size").over(by)))
+        now = rest.filter("upto <= room")
+        taken = now.select("key", "epoch") if taken is None else taken.unionByName(now.select("key", "epoch"))
+        used = now.groupBy("__pm_rank", "epoch").agg(F.max("upto").alias("used"))
+        rest = rest.filter("upto > room").join(used, ["__pm_rank", "epoch"], "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
+        rest = rest.drop("used", "upto").filter("size <= room")
+    return taken
 
 
 def mix(sized: DataFrame, **options) -> DataFrame:
     """Rows of ``sized`` with source_size, target, taken and places (array of epoch, shard).
 
-    A block drawn in part gives whole documents in hash order, passing over those
-    that no longer fit, so a source's words end just below its target.
+    Where the next block no longer fits, it and the blocks after it give single
+    documents, passing over those that no longer fit, so a source's words end just
+    below its target.
     """
-    seed = options.get("seed", SEED)
-    dealt, per_block = plan(sized, **options)
-    per_block = cut(per_block)
-    # at most one block of a source is drawn in part: its documents are a list of bounded length
-    part = per_block.select("__pm_rank", "block", F.filter("draws", lambda d: d["part"].isNotNull()).alias("cut")).filter(F.size("cut") > 0)
-    item = F.struct(F.xxhash64(F.lit(seed + 1), "key").alias("h"), "key", "size")
-    lists = dealt.join(part, ["__pm_rank", "block"], "inner").groupBy("__pm_rank", "block")
-    lists = lists.agg(F.array_sort(F.collect_list(item)).alias("docs"), F.first(F.col("cut")[0]["part"]).alias("room"))
-    fold = F.aggregate(
-        "docs",
-        F.struct(F.array().cast("array<bigint>").alias("keys"), F.col("room").cast("double").alias("room")),
-        lambda a, d: F.when(d["size"] <= a["room"], F.struct(F.concat(a["keys"], F.array(d["key"])).alias("keys"), (a["room"] - d["size"]).alias("room"))).otherwise(a),
-    )
-    per_block = per_block.join(lists.select("__pm_rank", "block", fold["keys"].alias("picked")), ["__pm_rank", "block"], "left")
-    # a left join keeps every document: what is not drawn has no place
-    whole = dealt.join(per_block, ["__pm_rank", "block"], "left")
-    drawn = F.filter("draws", lambda d: d["part"].isNull() | F.array_contains("picked", F.col("key")))
+    dealt, placed = plan(sized, **options)
+    placed = cut(placed)
+    place = F.struct("epoch", "shard")
+    whole = placed.filter("room is null").groupBy("__pm_rank", "block").agg(F.collect_list(place).alias("blocks"))
+    spare = placed.filter("room is not null")
+    picked = _picked(dealt, spare.drop("shard"), options.get("seed", SEED))
+    single = picked.join(dealt.select("key", "__pm_rank", "block"), "key", "inner").join(spare.drop("room"), ["__pm_rank", "block", "epoch"], "inner")
+    single = cut(single.groupBy(F.col("key").alias("__pm_key")).agg(F.collect_list(place).alias("single")))
+    # left joins keep every document: what is not drawn has no place
+    joined = dealt.join(whole, ["__pm_rank", "block"], "left").join(single, dealt["key"] == single["__pm_key"], "left").drop("__pm_key")
     none = F.array().cast("array<struct<epoch:int,shard:bigint>>")
-    places = F.coalesce(F.transform(drawn, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"))), none)
-    out = whole.withColumn("places", places).withColumn("taken", (F.size("places") * F.col("size")).cast("long"))
+    out = joined.withColumn("places", F.array_sort(F.concat(F.coalesce("blocks", none), F.coalesce("single", none))))
+    out = out.withColumn("taken", (F.size("places") * F.col("size")).cast("long"))
     return out.select(*sized.columns, "source_size", "target", "taken", "places")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of a whole row, but for columns of a kind that has no hash."""
+    return F.xxhash64(F.lit(SEED), *(F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The narrow table that all decisions use: id, source, size, and a key of the row."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    return cut(narrow.withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "source", "size")))
+    """The narrow table that all decisions use: id, source, size, hash of the whole row, and a key of its own for each row.
+
+    Equal rows are counted before they meet and numbered by chunks of ``CHUNK``.
+    """
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _row_hash(docs).alias("row"))
+    counted = cut(narrow.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("copies")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    few = counted.filter(F.col("copies") <= CHUNK).withColumn("copy", F.explode(upto(F.col("copies"))))
+    many = counted.filter(F.col("copies") > CHUNK).withColumn("chunk", F.explode(upto(F.ceil(F.col("copies") / CHUNK).cast("long"))))
+    many = many.repartition("row", "chunk").withColumn("copy", F.explode(F.transform(upto(F.least(F.lit(CHUNK).cast("long"), F.col("copies") - F.col("chunk") * CHUNK)), lambda i: F.col("chunk") * CHUNK + i)))
+    names = ["doc_id", "source", "size", "row", "copies", "copy"]
+    rows = few.select(*names).unionByName(many.select(*names))
+    return cut(rows.withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "source", "size", "row", "copy")).drop("copy"))
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed table: every column of ``docs``, a row for each time it is taken, with epoch, shard and its order there.
 
-    Rows that agree in id, source and size are treated alike.
+    Each of several equal rows is taken as often as its own key says.
     """
-    places = mix(sized(docs, id_col, text, source), **options).filter(F.size("places") > 0)
-    places = places.groupBy(F.col("key").alias(HIDE + "row")).agg(F.first("places").alias(HIDE + "places"))
-    keyed = docs.withColumn(HIDE + "key", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(source), word_count(F.col(text))))
-    out = keyed.join(places, keyed[HIDE + "key"] == places[HIDE + "row"], "inner").select(*docs.columns, HIDE + "key", F.explode(HIDE + "places").alias(HIDE + "place"))
-    place = F.col(HIDE + "place")
-    order = F.xxhash64(F.lit(options.get("seed", SEED) + 2), place["epoch"], HIDE + "key")
-    return out.select(*docs.columns, place["epoch"].alias(HIDE + "epoch"), place["shard"].alias(HIDE + "shard"), order.alias(HIDE + "order"))
+    seed = options.get("seed", SEED)
+    drawn = mix(sized(docs, id_col, text, source), **options).filter(F.size("places") > 0).select("row", "copies", "key", F.explode("places").alias("place"))
+    place = F.col("place")
+    order = F.xxhash64(F.lit(seed + 2), place["epoch"], "key")
+    drawn = cut(drawn.select(F.col("row").alias(HIDE + "of"), "copies", place["epoch"].alias(HIDE + "epoch"), place["shard"].alias(HIDE + "shard"), order.alias(HIDE + "order")))
+    extra = [HIDE + "epoch", HIDE + "shard", HIDE + "order"]
+    keyed = docs.withColumn(HIDE + "row", _row_hash(docs))
+    take = lambda rows, of: rows.join(of.drop("copies"), rows[HIDE + "row"] == of[HIDE + "of"], "inner").select(*docs.columns, *extra)
+    once = take(keyed, drawn.filter("copies = 1"))
+    again = drawn.filter("copies > 1")
+    if again.isEmpty():
+        return once
+    # of rows that are equal in every column one stands for all
+    repeated = keyed.join(again.select(HIDE + "of").distinct(), keyed[HIDE + "row"] == F.col(HIDE + "of"), "left_semi").dropDuplicates([HIDE + "row"])
+    return once.unionByName(take(repeated, again))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
