@@ -10,7 +10,10 @@ average, the model sent to executors is one number for each bucket (1 MB).
 
 Nulls: a null text is empty; an empty text gets the score of the bias alone. Rows
 with a null label or id are not learned from. Several labels of one id are
-averaged. Without labels every score is 0.5. Extra columns stay.
+averaged, and of several texts of one id that of the smallest hash is learned from.
+Very long texts are read whole, a slice of a batch at a time. Repeated rows and ties
+get equal scores. Without labels every score is 0.5; an empty table gives no rows.
+Extra columns stay, but for one named as the result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -159,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["rank", "label", "ids", "shares"])
 
     # the sample has a fixed number of ids
-    picked = docs.join(F.broadcast(chosen), docs[id_col] == chosen[HIDE + "id"], "inner").select(rank, lab, text)
+    picked = docs.select(id_col, text).join(F.broadcast(chosen), F.col(id_col) == F.col(HIDE + "id"), "inner")
+    picked = picked.groupBy(rank, lab, HIDE + "id").agg(F.min_by(text, F.xxhash64(text)).alias(HIDE + "text")).select(rank, lab, HIDE + "text")
     found = []
     # at most SAMPLE rows of a few thousand buckets
     for r in picked.mapInArrow(run, "rank long, label int, ids binary, shares binary").collect():

@@ -84,6 +84,52 @@ def test_quality_awkward_rows(spark, docs, empty):
     assert op03_quality.classify(empty, labels).count() == 0
 
 
+def test_scores_against_a_plain_loop(spark):
+    """The margin of a text is the mean weight of its words, their n-grams and its repetition marks, one by one."""
+    import math
+
+    import numpy as np
+
+    model = op03_quality.Model(np.random.default_rng(1).normal(size=op03_quality.BUCKETS + op03_quality.MARKS).astype(np.float32), 0.25)
+    texts = ["The cat sat", "a a b c d e a b c d e", "", "x", "é ß word word WORD", None]
+
+    def plain(text):
+        ws = [w.lower() if w.isascii() else w for w in (text or "").split()]
+        total, n = 0.0, 0
+        for w in ws:
+            one = pa.array([w])
+            h, _ = op03_quality.words.words(one)
+            buckets = [int(h[0]) % op03_quality.BUCKETS]
+            body = b"<" + w.encode() + b">"
+            for k in op03_quality.SIZES:
+                for i in range(len(body) - k + 1):
+                    v = k
+                    for b in body[i : i + k]:
+                        v = ((v << 8) | b) & (1 << 64) - 1
+                    buckets.append(int(op03_quality.words.mix(np.array([v], np.uint64))[0]) % op03_quality.BUCKETS)
+            total, n = total + sum(float(model.weight[b]) for b in buckets), n + len(buckets)
+        marks = [sum(a == b for a, b in zip(ws, ws[1:], strict=False)), 0]
+        runs = [tuple(ws[i : i + op03_quality.RUN]) for i in range(len(ws) - op03_quality.RUN + 1)]
+        marks[1] = len(runs) - len(set(runs)) if len(ws) > op03_quality.RUN else 0
+        total += sum(m * float(model.weight[op03_quality.BUCKETS + k]) for k, m in enumerate(marks))
+        return 1 / (1 + math.exp(-(total / max(1, n + sum(marks)) + model.bias)))
+
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    out = op03_quality.score(frame, model)
+    assert out.columns == ["doc_id", "text", "score"]
+    for r in out.collect():
+        assert abs(r.score - plain(texts[r.doc_id])) < 1e-6
+
+
+def test_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op03_quality, "fit", lambda docs, labels, seed=0: seen.append(len(docs)))
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(100)] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    op03_quality.train(docs, labels, sample=4)
+    assert seen == [4]
+
+
 def test_repetition_is_marked():
     *_, marks = op03_quality._parts(pa.array(["a a b c d e a b c d e", "x", "", "q q"]))
     assert marks.tolist() == [[1, 2], [0, 0], [0, 0], [1, 0]]

@@ -61,6 +61,53 @@ def test_rules_without_trigrams_scan_everything():
     assert frozenset({"sec", "ecr", "cre", "ret"}) in [g for _, _, g in op02_secrets.queries()]
 
 
+def brute_spans(text, rules):
+    """Every rule's regex over every text, without any index."""
+    out = []
+    for k, rule in enumerate(rules):
+        found = HEX if rule.kind == "hex" else re.compile(rule.regex, re.ASCII)
+        out += [(m.start(), k, m.end(), rule.kind) for m in found.finditer(text) if len(m[rule.group]) >= rule.least]
+    return sorted(out)
+
+
+def test_all_kinds_and_own_rules(spark):
+    import random
+
+    rng = random.Random(9)
+    alnum = "abcXYZ0189"
+    word = lambda n: "".join(rng.choice(alnum) for _ in range(n))
+    makers = [
+        lambda: "-----BEGIN RSA PRIVATE KEY-----", lambda: "-----BEGIN PRIVATE KEY-----", lambda: f"eyJ{word(12)}.eyJ{word(11)}.{word(5)}", lambda: f"eyJ{word(3)}.eyJ{word(11)}.{word(5)}", lambda: f"gh{rng.choice('opsurx')}_{word(rng.choice([20, 36, 40]))}",
+        lambda: f"xox{rng.choice('abprsz')}-{word(rng.choice([5, 12]))}", lambda: f"{rng.choice(['Bearer', 'bearer', 'BEARER'])}  {word(rng.choice([10, 24]))}", lambda: f"token={word(9)}", lambda: "AKIA" + word(14).upper(), lambda: "-----BEGIN", lambda: "é", lambda: " ", lambda: "\n",
+    ]
+    texts = ["".join(rng.choice(makers)() for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    got = scanned(spark, texts)
+    seen = set()
+    for i, t in enumerate(texts):
+        want = brute_spans(t, op02_secrets.RULES)
+        assert got[i] == want, t
+        seen |= {x[3] for x in want}
+    assert seen >= {"pem", "jwt", "forge", "chat", "bearer", "assign", "access"}
+    rules = (op02_secrets.Rule("mine", r"key-[0-9]{4}"), op02_secrets.Rule("any", r"[XYZ]{3}"))
+    frame = spark.createDataFrame([(0, "a key-1234 XYZ key-1 XY"), (1, "XXXX"), (2, None)], "doc_id long, text string")
+    found = {r.doc_id: [(s.s, s.e, s.k) for s in r[HIDE + "spans"]] for r in op02_secrets.scan(frame, rules=rules).collect()}
+    assert found == {0: [(2, 10, 0), (11, 14, 1)], 1: [(0, 3, 1)], 2: []}
+
+
+@pytest.mark.parametrize("regex", [r.regex for r in op02_secrets.RULES] + [r"(foo|bar)+baz?q", r"x|abcd", r"ab{2,3}cde", r"(?:a[bc])?def[0-9]*ghi$", r"^[a-c]xyz.q", r"(one|two)(three)?four"])
+def test_queries_lose_no_match(regex):
+    """Whatever a regex matches holds all trigrams of one of its clauses."""
+    clauses = op02_secrets.trigram_query(regex)
+
+    @given(st.from_regex(re.compile(regex, re.ASCII)))
+    @settings(max_examples=60, deadline=None)
+    def check(text):
+        low = text.lower()
+        assert not clauses or any(all(g in low for g in c) for c in clauses)
+
+    check()
+
+
 def test_secret_query_on_documents(spark, folder):
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall())
     got = op02_secrets.query(spark, folder).collect()
@@ -118,6 +165,67 @@ def test_altered_licence_has_coverage():
     assert op10_licences.matches(pa.array(["released under the old license of nothing", None, ""])) == [[], [], []]
 
 
+def full_alignment(template, doc):
+    """Most words in common, in order, of a template and a stretch of a document; plain dynamic program without a band."""
+    row = [0] * (len(doc) + 1)
+    for w in template:
+        last = row[:]
+        for j, x in enumerate(doc):
+            row[j + 1] = last[j] + 1 if w == x else max(last[j + 1], row[j])
+    return row[-1]
+
+
+def test_alignment_against_the_full_one():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        template = rng.permutation(40).astype(np.uint64)
+        doc = template.tolist()
+        for _ in range(rng.integers(0, 8)):
+            k = int(rng.integers(0, len(doc)))
+            if rng.random() < 0.5:
+                del doc[k]
+            else:
+                doc.insert(k, 99)
+        before = int(rng.integers(0, 20))
+        whole = np.array([77] * before + doc + [88] * 5, np.uint64)
+        n, s, e = op10_licences.align(template, whole, before)
+        assert n == full_alignment(template.tolist(), whole.tolist()) and before <= s < e <= before + len(doc)
+
+
+def test_matches_against_all_templates():
+    """Documents with altered licences: the right template is reported, with the coverage of a full alignment but for one stretch too short for a fingerprint."""
+    import random
+
+    rng = random.Random(4)
+    names = list(op10_licences.TEMPLATES)
+    split = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) if w]
+    bodies = [split(op10_licences.TEMPLATES[n]) for n in names]
+    for t in range(len(names)):
+        words_ = op10_licences.TEMPLATES[names[t]].split()
+        if len(words_) < 20:
+            continue
+        for _ in range(6):
+            own = list(words_)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = "altered"
+            k = rng.randrange(len(own))
+            own[k:k] = ["inserted"] * rng.choice([0, 0, 12])
+            text = "start of it " + " ".join(own) + " the rest"
+            (found,) = op10_licences.matches(pa.array([text]), least=0.0)
+            share = [full_alignment(b, split(text)) / len(b) for b in bodies]
+            best = max(found, key=lambda x: (x[3], x[1] - x[0]))
+            assert best[2] == t and share[t] - best[3] <= (op10_licences.K + op10_licences.WINDOW - 1) / len(bodies[t]) + 1e-9 and best[3] <= share[t] + 1e-9
+
+
+def test_partial_copies_are_reported():
+    half = " ".join(op10_licences.TEMPLATES["MIT"].split()[:45])
+    assert op10_licences.matches(pa.array([half])) == [[]]
+    ((s, e, t, c),) = op10_licences.matches(pa.array([half]), least=0.0)[0]
+    assert (s, e, list(op10_licences.TEMPLATES)[t]) == (0, len(half.rstrip(".,")), "MIT") and 0.4 < c < 0.6
+
+
 def test_winnowing_keeps_one_in_each_window():
     import numpy as np
 
@@ -129,5 +237,7 @@ def test_winnowing_keeps_one_in_each_window():
 def test_licence_query_and_awkward_rows(spark, docs, empty):
     got = op10_licences.scan(docs)
     assert got.count() == docs.count() and "licences" in got.columns and op10_licences.scan(empty).count() == 0
+    again = op10_licences.scan(docs.selectExpr("*", "'old' as licences"))
+    assert again.columns == got.columns and again.count() == docs.count()
     many = duckdb.sql("SELECT count(*) FROM '/root/testdata/sf0.01/documents.parquet' WHERE regexp_matches(text, 'MIT License|Apache License|GNU General|CC BY-NC')").fetchall()[0][0]
     assert op10_licences.query(spark, "/root/testdata/sf0.01").filter("n_matches > 0").count() == many
