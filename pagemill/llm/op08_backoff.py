@@ -1,8 +1,13 @@
 """Stupid-backoff language model scores, from counts over the whole corpus.
 
-The count table of all n-grams (orders 1 to ``ORDER``) is partitioned by hash.
-Documents are dealt to buckets by a hash; a bucket explodes its texts to n-grams and
-sends each partition of the count table its distinct n-grams with their counts, as
+Two forms with equal results. ``score_rows`` is the relational one: an n-gram is a row,
+the count table is a sum by hash, joined back to the exploded n-grams, whose scores are
+summed for each document. A row of an n-gram takes far more room on its way than its
+text, so the query uses ``score``, which joins tables of packed rows.
+
+In ``score`` the count table of all n-grams (orders 1 to ``ORDER``) is partitioned by
+hash. Documents are dealt to buckets by a hash; a bucket explodes its texts to n-grams
+and sends each partition of the count table its distinct n-grams with their counts, as
 one sorted packed row. A partition adds up what all buckets sent (the count table),
 joins it back to what each bucket asked for, and returns the counts in that order.
 The bucket then has the corpus count of each of its n-grams, scores every word, and
@@ -11,22 +16,28 @@ key is hot; nothing is collected on the driver.
 
 score(w | history) = count(history w) / count(history) if the n-gram was seen at
 least ``CUTOFF`` times, else 0.4 times the score with a shorter history; words come
-last, as count / all words.
-
-N-grams are known by ``BITS`` bits of a hash. Nulls: a null text is empty; a text
-without words has n_words 0, log_score 0 and no mean. Repeated rows each add to the
-counts and each get a score. An empty table gives an empty result.
+last, as count / all words. The cutoff is part of the model: every n-gram of a scored
+text is in the corpus once, as the text's own.
+
+N-grams are known by ``BITS`` bits of a hash in ``score``, by 64 in ``score_rows``.
+Nulls: a null text is empty; a text without words has n_words 0, log_score 0 and no
+mean. A very long text is part of one bucket, read a slice at a time. Repeated rows
+each add to the counts and each get a score; rows equal in id and text share a bucket.
+An empty table gives an empty result. Extra columns are not touched.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm import words
-from pagemill.llm.common import HIDE, table
+from pagemill.llm.common import HIDE, cut, table
 
 ORDER, CUTOFF, BACKOFF, BITS = 3, 2, 0.4, 48
 #: Buckets of documents for each shuffle partition: what a task holds at once is one bucket.
@@ -155,6 +166,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
     return dealt.groupBy(bucket).cogroup(replies.groupBy(bucket)).applyInArrow(mark, f"`{id_col}` {kind}, n_words long, log_score double, mean_log_score double")
 
 
+def score_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cutoff: int = CUTOFF, backoff: float = BACKOFF) -> DataFrame:
+    """What ``score`` gives with trigrams, by rows: n-grams exploded, counted by hash, joined back, summed for each document."""
+    upper = "".join(map(chr, range(65, 91)))
+    found = F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower()), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    whole = cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), found.alias("ws")))
+    at = lambda i, back: F.when(i > back, F.element_at("ws", F.greatest(F.lit(1), i - back)))
+    gram = lambda i, k: F.when(i >= k, F.xxhash64(*(at(i, back) for back in range(k - 1, -1, -1))))
+    places = F.when(F.size("ws") > 0, F.transform(F.sequence(F.lit(1), F.size("ws")), lambda i: F.struct(i.alias("i"), *(gram(i, k).alias(f"h{k}") for k in (1, 2, 3)))))
+    rows = whole.select("uid", F.explode(places).alias("p")).select("uid", "p.*")
+    kinds = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in (1, 2, 3)))
+    grams = rows.select("uid", "i", F.explode(kinds).alias("g")).select("uid", "i", "g.*").filter("h is not null")
+    counts = grams.groupBy("h", "k").agg(F.count("*").alias("c"))
+    total = rows.agg(F.count("*").alias("total"))
+    counted = grams.join(counts, ["h", "k"]).groupBy("uid", "i").agg(*(F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}") for k in (1, 2, 3)))
+    by = W.partitionBy("uid").orderBy("i")
+    counted = counted.withColumn("b1", F.lag("c1").over(by)).withColumn("b2", F.lag("c2").over(by)).join(F.broadcast(total))
+    one = F.log(F.col("c1").cast("double")) - F.log(F.col("total").cast("double"))
+    two = F.when(F.col("c2") >= cutoff, F.log("c2") - F.log("b1")).otherwise(one + F.when(F.col("c2").isNotNull(), math.log(backoff)).otherwise(0.0))
+    three = F.when(F.col("c3") >= cutoff, F.log("c3") - F.log("b2")).otherwise(two + F.when(F.col("c3").isNotNull(), math.log(backoff)).otherwise(0.0))
+    sums = counted.groupBy("uid").agg(F.sum(three).alias("s"))
+    n = F.size("ws").cast("long")
+    out = whole.join(sums, "uid", "left")
+    return out.select(F.col("id").alias(id_col), n.alias("n_words"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("log_score"), F.round(F.col("s") / F.when(n > 0, n), 7).alias("mean_log_score"))
+
+
 def query(spark, sf_dir) -> DataFrame:
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -4,7 +4,7 @@ Every template's word k-grams are hashed and winnowed (the smallest hash of each
 window); an inverted index maps fingerprints to (template, place). Documents are
 fingerprinted alike, over whole texts; hits of one template that follow each other in
 both are chained over neighbouring diagonals, so words put into or left out of a
-template do not split it; a stretch of fewer than ``K + WINDOW - 1`` words that long
+template do not split it; an unaltered stretch of fewer than ``K + WINDOW - 1`` words that long
 insertions cut off may have no fingerprint and is then left out. For each chain an alignment of the template's words with the
 document's, within a band around all its diagonals, gives the matched share of the
 template (coverage) and the span of characters. What reaches ``coverage`` is a match;

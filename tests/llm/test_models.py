@@ -244,3 +244,13 @@ def test_menus_of_a_section_go(spark):
     assert {r.page_id: r.text for r in op07_pages.extract(pages, many=12).collect()}[3] == "Yes\nStory 3"
     for kept in ({"many": 13}, {"many": 12, "many_share": 0.21}):
         assert {r.page_id: r.text for r in op07_pages.extract(pages, **kept).collect()}[3] == "Part one\nYes\nStory 3"
+
+
+def test_packed_and_relational_scores_agree(spark, folder, docs, empty):
+    few = spark.read.parquet(f"{folder}/documents.parquet")
+    for frame in (few, docs):
+        one, two = (sorted((str(r.doc_id), r.n_words, r.log_score, r.mean_log_score) for r in f(frame).collect()) for f in (op08_backoff.score, op08_backoff.score_rows))
+        assert len(one) == len(two) == frame.count()
+        for a, b in zip(one, two, strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-4 and (a[3] is None) == (b[3] is None)
+    assert op08_backoff.score_rows(empty).count() == 0

@@ -6,14 +6,14 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from pagemill.llm import op01_mixing, op03_quality, op05_packing, op06_exact_dedup, queries
+from pagemill.llm import op01_mixing, op03_quality, op06_exact_dedup, queries
 from pagemill.llm.common import HIDE, table
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 sys.path.insert(0, str(Path(__file__).parent))
 import oracle
 from test_dedup import brute
-from test_mix_pack import WORD, filled
+from test_mix_pack import WORD, filled, plain
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -71,11 +71,13 @@ def test_pipeline_against_brute_force(spark, folder, tmp_path):
     target = filled(sizes)
     assert max(Counter(r.doc_id for r in mixed).values()) <= 2
     for s in sizes:
-        smallest = min(len(WORD.findall(r.text)) for r in near if r.source == s)
-        assert taken[s] <= target[s] + 1e-6 and (target[s] - taken[s] < max(smallest, 1) + 0.5 * target[s])
+        # no document that was not taken as often as it may be would still fit, or hardly any is missing
+        spare = [len(WORD.findall(r.text)) for r in near if r.source == s]
+        assert taken[s] <= target[s] + 1e-6 and target[s] - taken[s] < max(0.01 * target[s], min(spare) + 20)
 
-    encode = op05_packing.encoder(op05_packing.vocabulary_path())
-    whole = sum(len(encode(r.text)) + 1 for r in mixed)
+    encode = plain()
+    whole = sum(len(encode.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
+    assert len({(r.row, r.piece) for r in packed}) == len(packed) and len({r.row for r in packed}) == len(mixed)
     assert sum(r.length for r in packed) == whole
     used = Counter()
     for r in packed:

@@ -195,7 +195,7 @@ def test_alignment_against_the_full_one():
 
 
 def test_matches_against_all_templates():
-    """Documents with altered licences: the right template is reported, with the coverage of a full alignment but for one stretch too short for a fingerprint."""
+    """Documents with altered licences: the right template is reported, with the coverage of a full alignment but for stretches between edits too short for a fingerprint."""
     import random
 
     rng = random.Random(4)
@@ -216,7 +216,7 @@ def test_matches_against_all_templates():
             (found,) = op10_licences.matches(pa.array([text]), least=0.0)
             share = [full_alignment(b, split(text)) / len(b) for b in bodies]
             best = max(found, key=lambda x: (x[3], x[1] - x[0]))
-            assert best[2] == t and share[t] - best[3] <= (op10_licences.K + op10_licences.WINDOW - 1) / len(bodies[t]) + 1e-9 and best[3] <= share[t] + 1e-9
+            assert best[2] == t and share[t] - best[3] <= 2 * (op10_licences.K + op10_licences.WINDOW - 1) / len(bodies[t]) + 1e-9 and best[3] <= share[t] + 1e-9
 
 
 def test_partial_copies_are_reported():
