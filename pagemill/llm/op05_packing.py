@@ -38,14 +38,28 @@ SIZE, END = 2048, 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of one length that one task ranks, and the number of buckets beyond which buckets grow instead.
 BUCKET_ROWS, MOST_BUCKETS = 1 << 13, 1 << 16
-#: Bytes of runs that a task remembers the ids of.
-MEMORY = 16 << 20
+#: Runs tokenised in one go, and bytes of runs that a task remembers the ids of.
+TOGETHER = 2000
+MEMORY = 6 << 20
 #: The characters with the property White_Space.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that no token of a byte-level vocabulary crosses: its words take one space in front and have no other.
 _RUN = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 
 
+class _Runs(dict):
+    """Numbers runs in the order of first sight; ``new`` has those whose ids are not known yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        self[run] = number = len(self)
+        self.new.append(run)
+        return number
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, without special tokens added; each distinct run is tokenised once.
 
@@ -61,21 +75,56 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        vocabulary = self.whole.get_vocab()
+        # tokens that begin with a space, as the byte-level alphabet writes it
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.start, self.bytes = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
-
-    def _learn(self, runs: list[str]) -> None:
-        self.bytes += sum(map(len, runs))
-        found = [e.ids for e in self.whole.encode_batch(runs, add_special_tokens=False)]
-        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), "<u4", int(sizes.sum()))])
+        self.runs, self.bytes = _Runs(), 0
+        self.ids = np.zeros(0, "<u4")
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _tokenise(self, runs: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of the runs, in pieces; where each run's begin, and how many it has."""
+        sizes = np.zeros(len(runs), np.int64)
+        # words with a space in front go in one text: their first tokens, and no others, begin with a space
+        plain = np.array([r[0] == " " and not r[-1].isspace() for r in runs], bool)
+        spaced = np.flatnonzero(plain)
+        groups = [spaced[k : k + TOGETHER] for k in range(0, len(spaced), TOGETHER)]
+        texts = ["".join([runs[i] for i in g.tolist()]) for g in groups]
+        ids: list[tuple[np.ndarray, np.ndarray]] = []
+        for g, e in zip(groups, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            found = np.array(e.ids, "<u4")
+            start = np.flatnonzero(self.spaced[found])
+            if len(start) == len(g):
+                ids.append((g, found))
+                sizes[g] = np.diff(start, append=len(found))
+            else:  # not a byte-level vocabulary
+                plain[g] = False
+        other = np.flatnonzero(~plain)
+        for i, e in zip(other, self.whole.encode_batch_fast([runs[i] for i in other.tolist()], add_special_tokens=False), strict=True):
+            ids.append((np.array([i]), np.array(e.ids, "<u4")))
+            sizes[i] = len(e.ids)
+        first = np.zeros(len(runs), np.int64)
+        at = 0
+        for g, found in ids:
+            first[g] = at + np.cumsum(sizes[g]) - sizes[g]
+            at += len(found)
+        return [found for _, found in ids], first, sizes
+
+    def _learn(self) -> None:
+        new, self.runs.new = self.runs.new, []
+        ids, first, sizes = self._tokenise(new)
+        self.bytes += sum(map(len, new))
+        self.first = np.concatenate([self.first, first + len(self.ids)])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, *ids])
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if self.bytes > MEMORY:
+            self._forget()
         runs, ends, own = [], [], {}
         for n, text in enumerate(texts):
             if any(t in text for t in self.added):
@@ -83,15 +132,12 @@ class Encoder:
             else:
                 runs += _RUN.findall(text)
             ends.append(len(runs))
-        distinct = set(runs)
-        if new := distinct - self.known.keys():
-            if self.bytes + sum(map(len, new)) > MEMORY:
-                self._forget()
-                new = distinct
-            self._learn(sorted(new))
-        which = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
-        first, sizes = self.start[which], self.start[which + 1] - self.start[which]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
+        which = np.fromiter(map(self.runs.__getitem__, runs), np.int32, len(runs))
+        if self.runs.new:
+            self._learn()
+        first, sizes = self.first[which], self.size[which]
+        upto = np.zeros(len(runs) + 1, np.int64)
+        np.cumsum(sizes, out=upto[1:])
         flat = self.ids[np.repeat(first - upto[:-1], sizes) + np.arange(upto[-1])]
         for n, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
             yield own[n] if n in own else flat[upto[a] : upto[b]]

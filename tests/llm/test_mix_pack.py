@@ -209,7 +209,7 @@ def test_encoder_forgets(monkeypatch):
     for k in range(20):
         texts = [" ".join(f"word{k * 7 + i}" for i in range(30)), "again and again", f"word{k} " * 3]
         assert [x.tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
-    assert len(encode.known) < 200
+    assert len(encode.runs) < 200
 
 
 def test_packing_awkward_rows(spark, docs, empty):
