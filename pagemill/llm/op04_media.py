@@ -25,6 +25,8 @@ from pagemill.llm import webp, webp_writer, words
 from pagemill.llm.common import table
 
 BLOCK = 64
+#: Bytes of payload coded, and decoded, at a time: each takes some fifty on the way.
+CODED, DECODED = 2 << 20, 12 << 20
 
 
 def padded(text: bytes) -> bytes:
@@ -38,7 +40,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in words.slices(whole, 1):
+            for batch in words.slices(whole, 1, CODED):
                 raw = batch.column(1).fill_null("").cast(pa.large_binary()).to_pylist()
                 payloads = [padded(t) for t in raw]
                 yield pa.RecordBatch.from_arrays(
@@ -76,17 +78,30 @@ def describe(payload: np.ndarray) -> str:
     return f"mean={int(payload.sum(dtype=np.int64)) * 1000 // n};hist={','.join(map(str, share))};ahash={bits}"
 
 
+def _stretches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``most`` bytes, a row at least."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads the stored bytes back and describes them."""
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            files = batch.column(3).to_pylist()
-            for n, data, (_, _, pixels) in zip(batch.column(2).to_pylist(), files, decode_all(files), strict=True):
-                payload = webp.samples(pixels.view(np.uint32))[:n].tobytes()
-                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), describe(np.frombuffer(payload, np.uint8))))
+            rows, sizes = [], batch.column(2).to_pylist()
+            for a, b in _stretches(sizes, DECODED):
+                files = batch.column(3).slice(a, b - a).to_pylist()
+                for n, data, (_, _, pixels) in zip(sizes[a:b], files, decode_all(files), strict=True):
+                    payload = webp.samples(pixels.view(np.uint32))[:n].tobytes()
+                    rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), describe(np.frombuffer(payload, np.uint8))))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

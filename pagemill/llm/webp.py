@@ -20,7 +20,7 @@ import numpy as np
 
 MOST_SIDE = 1 << 14
 #: Pixels of an image that is decoded beside others, images that are worth it, and pixels decoded together.
-MOST_PLAIN, FEW, TOGETHER = 1 << 24, 24, 1 << 25
+MOST_PLAIN, FEW, TOGETHER = 1 << 24, 64, 12 << 20
 
 #: Fixed values of the format: order in which lengths of code-length codes come.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
