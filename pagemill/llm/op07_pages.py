@@ -304,8 +304,8 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def template_subtrees(pages: DataFrame, url: str = "url", page: str = "html", least: int = LEAST_PAGES, share: float = SHARE, many: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
-    """(host, keys, rows): hashes of the subtrees on many distinct pages of the host, and its number of pages, copies included."""
+def _counted(pages: DataFrame, url: str, page: str, least: int, share: float, many: int, many_share: float) -> tuple[DataFrame, DataFrame]:
+    """(host, pages, rows): distinct pages of every host, and all; and (host, keys): hashes of the subtrees on many of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,20 +326,28 @@ def template_subtrees(pages: DataFrame, url: str = "url", page: str = "html", le
     hosts = per_key.filter("key = 0").select("host", F.col("n").alias("pages"), "rows")
     template = (F.col("n") >= F.col("pages") * share) | ((F.col("key") % 2 != 0) & (F.col("n") >= many) & (F.col("n") >= F.col("pages") * many_share))
     frequent = per_key.filter("key != 0").drop("rows").join(hosts, "host").filter(template)
-    return frequent.groupBy("host").agg(F.collect_list("key").alias("keys"), F.first("rows").alias("rows"))
+    return hosts, frequent.groupBy("host").agg(F.collect_list("key").alias("keys"))
+
+
+def template_subtrees(pages: DataFrame, url: str = "url", page: str = "html", least: int = LEAST_PAGES, share: float = SHARE, many: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
+    """(host, keys): hashes of the subtrees on many distinct pages of the host."""
+    return _counted(pages, url, page, least, share, many, many_share)[1]
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str = "text", least: int = LEAST_PAGES, share: float = SHARE, many: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
     """``pages`` with the main text in ``into`` instead of the html."""
     kept = [c for c in pages.columns if c not in (page, into)]
     name, keys, salt, parts = (HIDE + x for x in ("host", "keys", "salt", "parts"))
-    lists = cut(template_subtrees(pages, url, page, least, share, many, many_share))
-    count = F.ceil(F.col("rows") / SALT_PAGES).cast("long")
-    large = lists.select(F.col("host").alias(name), count.alias(parts)).filter(F.col(parts) > 1)
+    hosts, lists = _counted(pages, url, page, least, share, many, many_share)
+    # every host of many pages is dealt, whether it has a template or not
+    large = cut(hosts.select(F.col("host").alias(name), F.ceil(F.col("rows") / SALT_PAGES).cast("long").alias(parts)).filter(F.col(parts) > 1))
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    named = pages.select(*(pages[c] for c in kept), pages[page], host(pages[url]).alias(name)).join(large, name, "left")
-    salted = named.withColumn(salt, F.pmod(F.xxhash64(url, F.length(page)), F.coalesce(parts, F.lit(1).cast("long"))))
-    dealt = lists.select(F.col("host").alias(name), F.col("keys").alias(keys), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias(salt))
+    count = F.coalesce(parts, F.lit(1).cast("long"))
+    row = F.xxhash64(*(pages[c] for c, kind in pages.dtypes if c in (*kept, page) and "map<" not in kind))
+    named = pages.select(*(pages[c] for c in kept), pages[page], host(pages[url]).alias(name), row.alias(salt)).join(large, name, "left")
+    salted = named.withColumn(salt, F.pmod(F.col(salt), count))
+    lists = lists.select(F.col("host").alias(name), F.col("keys").alias(keys)).join(large, name, "left")
+    dealt = lists.select(name, keys, F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias(salt))
     joined = salted.join(dealt, [name, salt], "left").select(*kept, page, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
