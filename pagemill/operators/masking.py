@@ -2,8 +2,9 @@
 
 A document has 2,048 placeholders of each kind. Entities take the place that a hash
 of their text names, or the next free one, so a text has one placeholder in its
-document; formulas and LaTeX take the next in order. A document's rows are small and
-are masked together.
+document; formulas and LaTeX take the next in order. What finds no place left stays
+as it is, and ``usage`` reports the document. A document's rows are small and are
+masked together.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ SLOTS = 2048
 MATH_MARK = "▨"
 
 #: Entity patterns, applied in this order.
-MONTHS_RU = "января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря"
-MONTHS_EN = "January|February|March|April|May|June|July|August|September|October|November|December"
-DATES = (r"\b\d{2,4}[-/.]\d{1,2}[-/.]\d{2,4}\b", rf"(?i)\b\d{{1,2}}\s+(?:{MONTHS_RU})\s+\d{{4}}\b", rf"(?i)\b(?:{MONTHS_EN})\s+\d{{1,2}},?\s+\d{{4}}\b")
+DATES = (
+    r"\b\d{2,4}[-/.]\d{1,2}[-/.]\d{2,4}\b",
+    r"(?i)\b\d{1,2}\s+(?:января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря)\s+\d{4}\b",
+    r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b",
+)
 NUMBERS = (r"\b\d+[.,]?\d*%\b", r"\$\d+[.,]?\d*\b", r"€\d+[.,]?\d*\b", r"\b\d{1,3}(?:[.,]\d{3})+(?:[.,]\d+)?\b", r"\b\d+[.,]\d+\b")
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 URL = r"\b(?:https?://|ftp://|www\.)[A-Za-z0-9./?=&%#_~-]+\b"
 CAPITALS, CAPITALISED = r"\b[A-Z]{2,}\b", r"\b[A-Z][a-zA-Z]+\b"
-LATEX = r"\$\$[\s\S]+?\$\$|\$[^$\n]+\$"
+#: LaTeX blocks, displayed and inline.
+LATEX = (r"\$\$[\s\S]+?\$\$", r"\$[^$\n]+\$")
 
 ENTRIES = "array<struct<placeholder:string,original:string>>"
 
@@ -84,7 +88,10 @@ def mask_text(text: str, registry: Registry, source: str) -> tuple[str, list[dic
     def put(m: re.Match) -> str:
         if _TAKEN.search(m[0]):
             return m[0]
-        return found.setdefault(m[0], registry.entity(m[0]))
+        try:
+            return found.setdefault(m[0], registry.entity(m[0]))
+        except PlaceholdersExhausted:
+            return m[0]
 
     for pattern in entity_patterns(source):
         text = re.sub(pattern, put, text)
@@ -96,11 +103,14 @@ def protect_text(text: str, registry: Registry) -> tuple[str, list[dict[str, str
     entries: list[dict[str, str]] = []
 
     def put(m: re.Match) -> str:
-        mark = registry.following("LATEX")
+        try:
+            mark = registry.following("LATEX")
+        except PlaceholdersExhausted:
+            return m[0]
         entries.append({"placeholder": mark, "original": m[0]})
         return mark
 
-    for pattern in (r"\$\$[\s\S]+?\$\$", r"\$[^$\n]+\$"):
+    for pattern in LATEX:
         text = re.sub(pattern, put, text)
     return text, entries
 

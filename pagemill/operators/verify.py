@@ -54,7 +54,7 @@ def repeats(target: Column) -> Column:
 
 
 def identified(text: Column, language: Column, identify=None, least: float = 0.8) -> Column:
-    """Is the text in the language? Null, not false, without a model; ``identify(text)`` gives (label, confidence)."""
+    """Is the text in the language? Null, not false, without a model; ``identify(text)`` gives (label, confidence), or None if it can't tell."""
     if identify is None:
         return F.lit(None).cast("boolean")
 
@@ -63,7 +63,7 @@ def identified(text: Column, language: Column, identify=None, least: float = 0.8
         import pandas as pd
 
         found = (identify(t) for t in texts)
-        return pd.Series([label == want and sure >= least for (label, sure), want in zip(found, languages, strict=True)])
+        return pd.Series([None if f is None else f[0] == want and f[1] >= least for f, want in zip(found, languages, strict=True)], dtype=object)
 
     return run(text, language)
 

@@ -123,25 +123,20 @@ def register(catalog) -> None:
     def verify_ngram(spark, folder):
         return views.pairs(spark, folder).select("doc_id", verify.repeats(F.col("tgt")).alias("repeats"))
 
-    @add("verify_language", "SELECT doc_id, doc_id % 4 <> 0 AS in_language FROM documents")
+    @add("verify_language", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'false' WHEN length(text) % 3 = 0 THEN 'unknown' ELSE 'true' END AS in_language FROM documents")
     def verify_language(spark, folder):
-        # the stand-in for a language model says what the text's first word says
-        text = F.concat(F.when(F.col("doc_id") % 4 == 0, F.lit("uz")).otherwise(F.lit("ru")), F.lit(" "), "text")
-        return views.documents(spark, folder).select("doc_id", verify.identified(text, F.lit("ru"), lambda t: (t[:2], 0.9)).alias("in_language"))
+        # the stand-in for a language model says what the text's first word says, and nothing of some lengths
+        known = F.when(F.col("doc_id") % 4 == 0, F.lit("uz ")).when(F.length("text") % 3 == 0, F.lit("?? ")).otherwise(F.lit("ru "))
+        found = verify.identified(F.concat(known, "text"), F.lit("ru"), lambda t: None if t[:2] == "??" else (t[:2], 0.9))
+        return views.documents(spark, folder).select("doc_id", F.coalesce(found.cast("string"), F.lit("unknown")).alias("in_language"))
 
     @add("verify_tier1", CHECK_SQL + " SELECT doc_id, array_to_string(reasons, '|') AS reasons, len(reasons) > 0 AS flagged FROM r")
     def verify_tier1(spark, folder):
         return _checked(spark, folder).select("doc_id", F.array_join("reasons", "|").alias("reasons"), "flagged")
 
-    @add("char_overlap", PAIRS + f" SELECT doc_id, {OVERLAP_SQL.format('src', 'tgt')} AS score FROM pairs WHERE src <> '' AND instr(src || tgt, 'ß') = 0 AND instr(src || tgt, 'İ') = 0")
+    @add("char_overlap", PAIRS + f" SELECT doc_id, CASE WHEN src = '' THEN 0 ELSE {OVERLAP_SQL.format('src', 'tgt')} END AS score FROM pairs")
     def char_overlap(spark, folder):
-        return char_overlap_all(spark, folder, "src <> '' and instr(src || tgt, 'ß') = 0 and instr(src || tgt, 'İ') = 0")
-
-    @add("char_overlap_all")
-    def char_overlap_all(spark, folder, only="true"):
-        # without SQL: every pair, also those that DuckDB lowers in its own way
-        found = views.pairs(spark, folder).filter(only)
-        return found.select("doc_id", T.char_overlap(F.col("src"), F.col("tgt")).alias("score"))
+        return views.pairs(spark, folder).select("doc_id", T.char_overlap(F.col("src"), F.col("tgt")).alias("score"))
 
     tier2 = CHECK_SQL + ", z AS (SELECT doc_id, src, reasons, len(reasons) > 0 AS due, doc_id % 2 = 0 AS good FROM r) SELECT doc_id, due AND (NOT good OR list_contains(reasons, 'numeric_mismatch')) AS flagged, due AS tier2_executed, array_to_string(CASE WHEN due AND NOT good THEN list_append(reasons, 'back_translation_mismatch') ELSE reasons END, '|') AS reasons FROM z"
 
@@ -228,8 +223,9 @@ def register(catalog) -> None:
         images = views.layout(spark, folder).filter("page_no % 2 = 0").select("doc_id", "page_no").distinct().selectExpr("*", "0D as x0", "0D as y0", "612D as x1", "300D as y1")
         return document_pipeline.run(views.layout(spark, folder), _cache(spark, folder), _mock, "ru", views.PAGE_HEIGHT, images=images).commands
 
-    @add("translate_with_confidence", f"SELECT {KEY_SQL.format('text')} AS key, 0.75::DOUBLE AS confidence FROM conversations WHERE text <> '' GROUP BY ALL")
+    # the stand-in is surer of texts of an even number of characters
+    @add("translate_with_confidence", f"SELECT {KEY_SQL.format('text')} AS key, CASE WHEN min(text) = '' THEN NULL ELSE '[rus_Cyrl]' || min(text) END AS translated_text, CASE WHEN min(text) = '' THEN 1 WHEN length(min(text)) % 2 = 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence FROM conversations GROUP BY ALL")
     def translate_with_confidence(spark, folder):
-        items = _talk(spark, folder).filter("text <> ''").groupBy("key").agg(F.min("text").alias("text"))
-        sure = lambda texts, source, target: [(f"[{target}]{t}", 0.75) for t in texts]
-        return translate.run_model_with_confidence(items, sure, "uz", "ru").select("key", "confidence")
+        items = _talk(spark, folder).groupBy("key").agg(F.min("text").alias("text"))
+        sure = lambda texts, source, target: [(f"[{target}]{t}", 0.5 + 0.25 * (len(t) % 2 == 0)) for t in texts]
+        return translate.run_model_with_confidence(items, sure, "uz", "ru")

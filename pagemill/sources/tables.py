@@ -14,14 +14,30 @@ REPORT = "page int, source_preview string, translation_preview string, flagged s
 CACHE = "key string, translated_text string, schema_version int, glossary_hash string"
 
 #: Font files by variant.
-FONT_FOLDER = "/usr/share/fonts/truetype"
-FONT_FAMILIES = {
-    "DejaVuSans": ("dejavu", ("", "-Bold")), "DejaVuSerif": ("dejavu", ("", "-Bold")), "DejaVuSansMono": ("dejavu", ("", "-Bold")),
-    "LiberationSerif": ("liberation", ("-Regular", "-Bold", "-Italic", "-BoldItalic")),
-    "LiberationSans": ("liberation", ("-Regular", "-Bold", "-Italic", "-BoldItalic")),
-    "LiberationMono": ("liberation", ("-Regular", "-Bold", "-Italic", "-BoldItalic")),
-    "NotoSans": ("noto", ("", "-Bold")), "NotoSerif": ("noto", ("", "-Bold")),
-}
+FONTS = (
+    ("DejaVuSans", "/usr/share/fonts/truetype/dejavu/DejaVuSans.ttf"),
+    ("DejaVuSans-Bold", "/usr/share/fonts/truetype/dejavu/DejaVuSans-Bold.ttf"),
+    ("DejaVuSerif", "/usr/share/fonts/truetype/dejavu/DejaVuSerif.ttf"),
+    ("DejaVuSerif-Bold", "/usr/share/fonts/truetype/dejavu/DejaVuSerif-Bold.ttf"),
+    ("DejaVuSansMono", "/usr/share/fonts/truetype/dejavu/DejaVuSansMono.ttf"),
+    ("DejaVuSansMono-Bold", "/usr/share/fonts/truetype/dejavu/DejaVuSansMono-Bold.ttf"),
+    ("LiberationSerif-Regular", "/usr/share/fonts/truetype/liberation/LiberationSerif-Regular.ttf"),
+    ("LiberationSerif-Bold", "/usr/share/fonts/truetype/liberation/LiberationSerif-Bold.ttf"),
+    ("LiberationSerif-Italic", "/usr/share/fonts/truetype/liberation/LiberationSerif-Italic.ttf"),
+    ("LiberationSerif-BoldItalic", "/usr/share/fonts/truetype/liberation/LiberationSerif-BoldItalic.ttf"),
+    ("LiberationSans-Regular", "/usr/share/fonts/truetype/liberation/LiberationSans-Regular.ttf"),
+    ("LiberationSans-Bold", "/usr/share/fonts/truetype/liberation/LiberationSans-Bold.ttf"),
+    ("LiberationSans-Italic", "/usr/share/fonts/truetype/liberation/LiberationSans-Italic.ttf"),
+    ("LiberationSans-BoldItalic", "/usr/share/fonts/truetype/liberation/LiberationSans-BoldItalic.ttf"),
+    ("LiberationMono-Regular", "/usr/share/fonts/truetype/liberation/LiberationMono-Regular.ttf"),
+    ("LiberationMono-Bold", "/usr/share/fonts/truetype/liberation/LiberationMono-Bold.ttf"),
+    ("LiberationMono-Italic", "/usr/share/fonts/truetype/liberation/LiberationMono-Italic.ttf"),
+    ("LiberationMono-BoldItalic", "/usr/share/fonts/truetype/liberation/LiberationMono-BoldItalic.ttf"),
+    ("NotoSans", "/usr/share/fonts/truetype/noto/NotoSans-Regular.ttf"),
+    ("NotoSans-Bold", "/usr/share/fonts/truetype/noto/NotoSans-Bold.ttf"),
+    ("NotoSerif", "/usr/share/fonts/truetype/noto/NotoSerif-Regular.ttf"),
+    ("NotoSerif-Bold", "/usr/share/fonts/truetype/noto/NotoSerif-Bold.ttf"),
+)
 
 
 class SourceError(ValueError):
@@ -66,8 +82,7 @@ def pdf_pages(spark: SparkSession, path: str, parse) -> DataFrame:
 
 def font_catalog(spark: SparkSession) -> DataFrame:
     """(variant, path): a fixed dimension table of 22 rows."""
-    rows = [(f + v, f"{FONT_FOLDER}/{folder}/{f + v if folder != 'noto' or v else f + '-Regular'}.ttf") for f, (folder, variants) in FONT_FAMILIES.items() for v in variants]
-    return spark.createDataFrame(rows, "variant string, path string")
+    return spark.createDataFrame(FONTS, "variant string, path string")
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:

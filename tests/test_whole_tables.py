@@ -45,13 +45,13 @@ def _cased(original, translated):
 
 
 def test_case_of_all_lines(spark, whole, lines):
-    got = {k: r.text for k, r in _got(spark, whole, "restore_case_all").items()}
+    got = {k: r.text for k, r in _got(spark, whole, "restore_case").items()}
     assert any("ß" in t for k, t in lines.items() if k[0] < 10_000_000)
     assert got == {k: _cased(t, t.lower()) for k, t in lines.items()}
 
 
 def test_latex_of_all_lines(spark, whole, lines):
-    got = _got(spark, whole, "latex_round_trip_all")
+    got = _got(spark, whole, "latex_round_trip")
     assert any("$" in t for k, t in lines.items() if k[0] < 10_000_000)
 
     def blocks(line):
@@ -62,12 +62,12 @@ def test_latex_of_all_lines(spark, whole, lines):
 
 
 def test_normal_form_of_all_lines(spark, whole, lines):
-    got = {k: r.text for k, r in _got(spark, whole, "normalize_text_all").items()}
+    got = {k: r.text for k, r in _got(spark, whole, "normalize_text").items()}
     assert got == {k: unicodedata.normalize("NFKC", f"o' {t}".translate(UZBEK) if k[1] % 2 == 0 else f"o' {t}") for k, t in lines.items()}
 
 
 def test_formulas_of_all_lines(spark, whole, lines):
-    got = {k: (r.shown, r.filled) for k, r in _got(spark, whole, "math_round_trip_all").items()}
+    got = {k: (r.shown, r.filled) for k, r in _got(spark, whole, "math_round_trip").items()}
 
     def filled(line, no):
         # a mark of the line's own has the place of a formula, as in the reference
@@ -80,7 +80,7 @@ def test_formulas_of_all_lines(spark, whole, lines):
 
 
 def test_overlap_of_all_pairs(spark, whole):
-    got = {r.doc_id: r.score for r in catalog.QUERIES["char_overlap_all"](spark, whole).collect()}
+    got = {r.doc_id: r.score for r in catalog.QUERIES["char_overlap"](spark, whole).collect()}
     pairs = {r.doc_id: (r.src, r.tgt) for r in views.pairs(spark, whole).collect()}
     assert any("ß" in src for k, (src, _) in pairs.items() if k < 10_000_000)
     want = {k: len(set(a.lower()) & set(b.lower())) / len(set(a.lower())) if a else 0.0 for k, (a, b) in pairs.items()}
