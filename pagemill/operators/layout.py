@@ -95,8 +95,8 @@ def reading_order(blocks: DataFrame, ordinal: str = "block_no") -> DataFrame:
     )
 
 
-def dehyphenate(lines: DataFrame, key: tuple[str, ...] = ("doc_id",), order: str = "line_no", text: str = "line") -> DataFrame:
-    """Chains of lines joined over word-breaking hyphens: (key, first ordinal, n_lines, text).
+def dehyphenate(lines: DataFrame, key: tuple[str, ...] = ("doc_id",), order: str = "line_no", text: str = "line", carry: dict[str, Column] | None = None) -> DataFrame:
+    """Chains of lines joined over word-breaking hyphens: (key, first ordinal, n_lines, text) and what ``carry`` aggregates of a chain.
 
     A line that is nothing but a hyphen ends its chain.
     """
@@ -106,8 +106,31 @@ def dehyphenate(lines: DataFrame, key: tuple[str, ...] = ("doc_id",), order: str
     flagged = flagged.withColumn("chain", F.sum(F.when(F.col("m"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     part = F.when(F.col("next_m"), T.hyphen_core(F.col(text))).otherwise(F.col(text))
     part = F.when(F.col("m"), T.left_stripped(part)).otherwise(part)
-    grouped = flagged.withColumn("part", part).groupBy(*key, "chain").agg(F.array_sort(F.collect_list(F.struct(order, "part"))).alias("parts"), F.min(order).alias(order))
-    return grouped.select(*key, order, F.size("parts").cast("long").alias("n_lines"), F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"))
+    more = [c.alias(n) for n, c in (carry or {}).items()]
+    grouped = flagged.withColumn("part", part).groupBy(*key, "chain").agg(F.array_sort(F.collect_list(F.struct(order, "part"))).alias("parts"), F.min(order).alias("_first"), *more)
+    joined = F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text")
+    return grouped.select(*key, F.col("_first").alias(order), F.size("parts").cast("long").alias("n_lines"), joined, *(carry or {}))
+
+
+def merged_lines(lines: DataFrame, order: str = "line_no", text: str = "line") -> DataFrame:
+    """Lines of a page with broken words joined: a chain has the box of all its lines, the first one's size and every other attribute of the first.
+
+    A formula line is no part of a chain.
+    """
+    first = {c: F.min_by(c, order) for c in lines.columns if c not in (*PAGE, order, text, "x0", "y0", "x1", "y1")}
+    box = {"x0": F.min("x0"), "y0": F.min("y0"), "x1": F.max("x1"), "y1": F.max("y1")}
+    # an ordinal of its own for each side of a formula keeps chains apart
+    turn = F.sum(F.when(F.col("is_math"), 1).otherwise(0)).over(W.partitionBy(*PAGE).orderBy(order))
+    apart = lines.withColumn("_turn", F.when(F.col("is_math"), -turn).otherwise(turn))
+    return dehyphenate(apart, (*PAGE, "_turn"), order, text, box | first).drop("_turn", "n_lines").withColumnRenamed("text", text)
+
+
+def ordered(lines: DataFrame, block: str = "block_no") -> DataFrame:
+    """Lines renumbered over the page in reading order: by their blocks' places, then inside the block."""
+    blocks = lines.groupBy(*PAGE, block).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    places = reading_order(blocks, block).select(*PAGE, block, "reading_pos")
+    place = F.row_number().over(W.partitionBy(*PAGE).orderBy("reading_pos", "line_no")) - 1
+    return lines.join(places, [*PAGE, block]).withColumn("line_no", place.cast("long")).drop("reading_pos")
 
 
 def cluster_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
@@ -120,14 +143,29 @@ def cluster_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
 
 
 def build_paragraphs(clustered: DataFrame, order: str = "line_no", text: str = "line") -> DataFrame:
-    """One row a paragraph: box, first line's font size, text without list marker, and the marker."""
+    """One row a paragraph: box, first line's font size, text without list marker, and the marker.
+
+    Where lines have them, also font, colour and direction of the first line. Where lines
+    are told to be formulas, a paragraph of nothing else ``is_math``; in others each
+    formula line is a placeholder, and ``math_spans`` has the originals in their order.
+    """
+    extra = [c for c in ("font", "color", "dir") if c in clustered.columns]
+    math = "is_math" in clustered.columns
+    part = F.struct(order, F.trim(text).alias("t"), *(["is_math"] if math else []))
     grouped = clustered.groupBy(*PAGE, "para_no").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.min_by("fontsize", order).alias("fontsize"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct(order, F.trim(text).alias("t")))).alias("parts"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min_by("fontsize", order).alias("fontsize"), F.count("*").alias("n_lines"),
+        F.array_sort(F.collect_list(part)).alias("parts"), *(F.min_by(c, order).alias(c) for c in extra), *([F.bool_and("is_math").alias("is_math")] if math else []),
     )
-    whole = F.array_join(F.filter(F.transform("parts", lambda p: p["t"]), lambda t: t != ""), " ")
-    grouped = grouped.withColumn("whole", whole)
-    return grouped.select(*PAGE, "para_no", "x0", "y0", "x1", "y1", "fontsize", "n_lines", T.list_marker(F.col("whole")).alias("marker"), T.without_marker(F.col("whole")).alias("text"))
+    found = F.filter("parts", lambda p: p["t"] != "")
+    if not math:
+        grouped = grouped.withColumn("whole", F.array_join(F.transform(found, lambda p: p["t"]), " "))
+        return grouped.select(*PAGE, "para_no", "x0", "y0", "x1", "y1", "fontsize", "n_lines", T.list_marker(F.col("whole")).alias("marker"), T.without_marker(F.col("whole")).alias("text"), *extra)
+    # the private-use places of formulas, in the order of a paragraph's lines
+    mark = lambda i: F.decode(F.unhex(F.concat(F.hex(F.shiftright(i + 0xE000, 12) + 0xE0), F.hex(F.shiftright(i + 0xE000, 6).bitwiseAND(0x3F) + 0x80), F.hex((i + 0xE000).bitwiseAND(0x3F) + 0x80))), "UTF-8")
+    masked = F.transform(found, lambda p, i: F.struct(F.when(p["is_math"] & ~F.col("is_math"), mark(i % 2048)).alias("placeholder"), p["t"].alias("original")))
+    grouped = grouped.withColumn("found", masked)
+    grouped = grouped.withColumn("whole", F.array_join(F.transform("found", lambda p: F.coalesce(p["placeholder"], p["original"])), " ")).withColumn("math_spans", F.filter("found", lambda p: p["placeholder"].isNotNull()))
+    return grouped.select(*PAGE, "para_no", "x0", "y0", "x1", "y1", "fontsize", "n_lines", T.list_marker(F.col("whole")).alias("marker"), T.without_marker(F.col("whole")).alias("text"), "is_math", "math_spans", *extra)
 
 
 def first_span_of_cell(cells: DataFrame, found: DataFrame) -> DataFrame:

@@ -137,6 +137,17 @@ def protect_latex(df: DataFrame, key: str = "doc_id", order: str = "line_no", te
     return _by_document(df, key, order, text, protect_text)
 
 
+def mask_all(df: DataFrame, source: str = "uz", key: str = "doc_id", order: str = "line_no", text: str = "line") -> DataFrame:
+    """LaTeX blocks and then entities of each document, in one pass."""
+
+    def work(value: str, registry: Registry) -> tuple[str, list[dict[str, str]]]:
+        value, blocks = protect_text(value, registry)
+        value, found = mask_text(value, registry, source)
+        return value, blocks + found
+
+    return _by_document(df, key, order, text, work)
+
+
 def restore(masked: Column, entries: Column) -> Column:
     """Puts originals back, the last masked first: an inline LaTeX block may hold the placeholder of a displayed one."""
     return T.replace_all(masked, F.reverse(entries), "placeholder", "original")

@@ -60,25 +60,34 @@ def write_cache(cache: DataFrame, path: str) -> str:
     return place
 
 
-def run_model(texts: DataFrame, translate: Callable[[list[str], str, str], list[str]], source: str, target: str, text: str = "text", batch: int = 8) -> DataFrame:
-    """(key, translated_text): batches of like length go to the model; an empty output is an error."""
+def run_model(texts: DataFrame, translate: Callable[[list[str], str, str], list[str]], source: str, target: str, text: str = "text", batch: int = 8, most: int | None = 512, length=chunking.word_length) -> DataFrame:
+    """(key, translated_text): chunks of sentences within ``most`` tokens, as ``length`` counts them, go to the model in batches of like length.
+
+    An empty output is an error. A text of several chunks is their translations, in order.
+    """
     src, tgt = T.LANGUAGE_CODES[source], T.LANGUAGE_CODES[target]
+    parts = F.array(F.col(text)) if most is None else chunking.sentence_chunks(F.col(text), most, length)
+    chunks = texts.select("key", F.posexplode(parts).alias("chunk_no", "chunk"))
 
     def run(batches):
         import pandas as pd
 
         for rows in batches:
-            rows = rows.iloc[rows[text].str.len().argsort(kind="stable")]
+            rows = rows.iloc[rows["chunk"].str.len().argsort(kind="stable")]
             out: list[str] = []
             for i in range(0, len(rows), batch):
-                part = rows[text].iloc[i : i + batch].tolist()
+                part = rows["chunk"].iloc[i : i + batch].tolist()
                 got = translate(part, src, tgt)
                 if len(got) != len(part) or any(not g for g, p in zip(got, part, strict=True) if p.strip()):
                     raise EngineError("the model returned an empty translation")
                 out += got
-            yield pd.DataFrame({"key": rows["key"].to_numpy(), "translated_text": out})
+            yield pd.DataFrame({"key": rows["key"].to_numpy(), "chunk_no": rows["chunk_no"].to_numpy(), "out": out})
 
-    return texts.select("key", text).mapInPandas(run, "key string, translated_text string")
+    made = chunks.mapInPandas(run, "key string, chunk_no int, out string")
+    if most is None:
+        return made.select("key", F.col("out").alias("translated_text"))
+    grouped = made.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "out"))).alias("all"))
+    return grouped.select("key", F.array_join(F.transform("all", lambda c: c["out"]), " ").alias("translated_text"))
 
 
 def run_model_with_confidence(texts: DataFrame, translate: Callable[[list[str], str, str], list[tuple[str, float | None]]], source: str, target: str, text: str = "text") -> DataFrame:

@@ -39,6 +39,35 @@ WRAP_SQL = """list_reduce(list_transform({words}, lambda w: {{'n': 1, 'w': lengt
 WORDS_SQL = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
 
 
+CHAIN_SQL = r"string_agg(CASE WHEN m THEN regexp_replace(part, '^\s+', '') ELSE part END, '' ORDER BY line_no)"
+
+
+def order_ctes(source: str) -> str:
+    """CTEs that end in ``placed_blocks``: each line of ``source`` as a block with its place in reading order."""
+    return f"""b AS (SELECT doc_id, page_no, line_no AS block_no, x0, y0, x1, y1, (x0 + x1) / 2 AS cx, x1 - x0 AS w FROM {source}),
+      p AS (SELECT doc_id, page_no, list_sort(list(w)) AS ws, list_sort(list(cx)) AS cs FROM b GROUP BY ALL),
+      g AS (SELECT *, greatest(ws[len(ws) // 2 + 1] * 2.0::DOUBLE, 30.0::DOUBLE) AS gap FROM p),
+      s AS (SELECT doc_id, page_no, list_transform(list_filter(range(2, len(cs) + 1), lambda i: cs[i] - cs[i - 1] > gap), lambda i: (cs[i] + cs[i - 1]) / 2) AS seps FROM g),
+      c AS (SELECT b.*, len(list_filter(seps, lambda x: x <= cx)) AS col, len(seps) AS ns FROM b JOIN s USING (doc_id, page_no)),
+      e AS (SELECT doc_id, page_no, col, max(x1) - min(x0) AS ext FROM c GROUP BY ALL),
+      a AS (SELECT doc_id, page_no, avg(ext) AS extent FROM e GROUP BY ALL),
+      z AS (SELECT c.*, ns > 0 AND w > extent * 1.5::DOUBLE AS is_spanning FROM c JOIN a USING (doc_id, page_no)),
+      placed_blocks AS (SELECT doc_id, page_no, block_no, col, is_spanning, row_number() OVER (PARTITION BY doc_id, page_no
+        ORDER BY CASE WHEN is_spanning THEN 0 ELSE 1 END, CASE WHEN is_spanning THEN 0 ELSE col END, y0, x0, block_no) - 1 AS reading_pos FROM z)"""
+
+
+def hyphen_ctes(source: str, key: str) -> str:
+    """CTEs that end in ``chains``: the lines of ``source`` with the chain of broken words that each belongs to."""
+    kept = " OR ".join(f"suffix(rtrim(line), '{e}')" for e in T.KEPT_ENDINGS)
+    return rf"""hf AS (SELECT *, lead(line) OVER (PARTITION BY {key} ORDER BY line_no) AS following, regexp_replace(line, '-\s*$', '') AS core FROM {source}),
+      hg AS (SELECT *, regexp_replace(coalesce(following, ''), '^\s+', '') AS rest FROM hf),
+      hj AS (SELECT *, regexp_matches(line, '-\s*$') AND length(core) > 0 AND length(rest) > 0 AND right(core, 1) NOT IN ('—', '–') AND NOT ({kept})
+              AND (instr('{T.VOWELS}', lower(right(core, 1))) > 0) <> (instr('{T.VOWELS}', lower(left(rest, 1))) > 0) AS next_m FROM hg),
+      hm AS (SELECT *, coalesce(lag(next_m) OVER (PARTITION BY {key} ORDER BY line_no), false) AS m FROM hj),
+      chains AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS chain,
+              CASE WHEN next_m THEN core ELSE line END AS part FROM hm)"""
+
+
 def _numbered(spark, folder):
     """Lines as paragraphs, some of which open a numbered article."""
     found = views.layout(spark, folder)
@@ -78,35 +107,14 @@ def register(catalog) -> None:
         text = F.concat("line", F.when(F.col("line_no") % 5 == 0, F.lit("∑∫∂≤")).otherwise(F.lit("")))
         return views.lines(spark, folder).select("doc_id", "line_no", T.has_math_unicode(text).alias("is_math"))
 
-    order_sql = (
-        BOXED
-        + """, b AS (SELECT doc_id, page_no, line_no AS block_no, x0, y0, x1, y1, (x0 + x1) / 2 AS cx, x1 - x0 AS w FROM layout),
-      p AS (SELECT doc_id, page_no, list_sort(list(w)) AS ws, list_sort(list(cx)) AS cs FROM b GROUP BY ALL),
-      g AS (SELECT *, greatest(ws[len(ws) // 2 + 1] * 2.0::DOUBLE, 30.0::DOUBLE) AS gap FROM p),
-      s AS (SELECT doc_id, page_no, list_transform(list_filter(range(2, len(cs) + 1), lambda i: cs[i] - cs[i - 1] > gap), lambda i: (cs[i] + cs[i - 1]) / 2) AS seps FROM g),
-      c AS (SELECT b.*, len(list_filter(seps, lambda x: x <= cx)) AS col, len(seps) AS ns FROM b JOIN s USING (doc_id, page_no)),
-      e AS (SELECT doc_id, page_no, col, max(x1) - min(x0) AS ext FROM c GROUP BY ALL),
-      a AS (SELECT doc_id, page_no, avg(ext) AS extent FROM e GROUP BY ALL),
-      z AS (SELECT c.*, ns > 0 AND w > extent * 1.5::DOUBLE AS is_spanning FROM c JOIN a USING (doc_id, page_no))
-      SELECT doc_id, page_no, block_no, col, is_spanning, row_number() OVER (PARTITION BY doc_id, page_no
-        ORDER BY CASE WHEN is_spanning THEN 0 ELSE 1 END, CASE WHEN is_spanning THEN 0 ELSE col END, y0, x0, block_no) - 1 AS reading_pos FROM z"""
-    )
+    order_sql = BOXED + ", " + order_ctes("layout") + " SELECT doc_id, page_no, block_no, col, is_spanning, reading_pos FROM placed_blocks"
 
     @add("reading_order", order_sql)
     def reading_order(spark, folder):
         return layout.reading_order(views.layout(spark, folder).withColumn("block_no", F.col("line_no")))
 
-    kept = " OR ".join(f"suffix(rtrim(line), '{e}')" for e in T.KEPT_ENDINGS)
-    hyphen_sql = rf"""WITH {views.LINES_SQL}, h AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 0 THEN line || '-' ELSE line END AS line FROM lines WHERE length(trim(line)) > 0),
-      f AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS following, regexp_replace(line, '-\s*$', '') AS core FROM h),
-      g AS (SELECT *, regexp_replace(coalesce(following, ''), '^\s+', '') AS rest FROM f),
-      j AS (SELECT *, regexp_matches(line, '-\s*$') AND length(core) > 0 AND length(rest) > 0 AND right(core, 1) NOT IN ('—', '–') AND NOT ({kept})
-              AND (instr('{T.VOWELS}', lower(right(core, 1))) > 0) <> (instr('{T.VOWELS}', lower(left(rest, 1))) > 0) AS next_m FROM g),
-      m AS (SELECT *, coalesce(lag(next_m) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS m FROM j),
-      k AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS chain,
-              CASE WHEN next_m THEN core ELSE line END AS part FROM m)
-      SELECT doc_id, min(line_no) AS line_no, count(*) AS n_lines, string_agg(CASE WHEN m THEN regexp_replace(part, '^\s+', '') ELSE part END, '' ORDER BY line_no) AS text
-      FROM k GROUP BY doc_id, chain"""
+    hyphen_sql = f"""WITH {views.LINES_SQL}, h AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 0 THEN line || '-' ELSE line END AS line FROM lines WHERE length(trim(line)) > 0), {hyphen_ctes('h', 'doc_id')}
+      SELECT doc_id, min(line_no) AS line_no, count(*) AS n_lines, {CHAIN_SQL} AS text FROM chains GROUP BY doc_id, chain"""
 
     @add("dehyphenate", hyphen_sql)
     def dehyphenate(spark, folder):

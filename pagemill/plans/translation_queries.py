@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.operators import report, translate, verify
 from pagemill.plans import document_pipeline, views
-from pagemill.plans.layout_queries import BOXED, CLUSTER_SQL, MARK_SQL, REST_SQL, WORDS_SQL
+from pagemill.plans.layout_queries import BOXED, CHAIN_SQL, CLUSTER_SQL, MARK_SQL, REST_SQL, WORDS_SQL, hyphen_ctes, order_ctes
 from pagemill.sources import tables
 from pagemill.streaming import pages as streaming
 
@@ -203,15 +203,29 @@ def register(catalog) -> None:
             F.count_if(verify.length_outlier(src, tgt)).alias("n_ratio"), F.count_if(verify.repeats(tgt)).alias("n_repeats"),
         )
 
-    pipeline_sql = f"""{BOXED}, kept AS (SELECT * FROM layout WHERE NOT (y0 < 792.0::DOUBLE * 0.05::DOUBLE OR y1 > 792.0::DOUBLE * 0.95::DOUBLE) AND length(trim(line)) > 0){CLUSTER_SQL.replace("FROM layout", "FROM kept")},
-      g AS (SELECT doc_id, page_no, para_no, string_agg(trim(line), ' ' ORDER BY line_no) AS whole FROM clustered GROUP BY ALL),
-      t AS (SELECT doc_id, page_no, para_no, {REST_SQL.format('whole')} AS text FROM g) SELECT doc_id, count(*) AS processed, count_if(len(regexp_extract_all(text, '[^ ]')) = 0)::BIGINT AS blank FROM t GROUP BY doc_id"""
+    # every ninth line is a formula; the SQL goes from lines to paragraphs as the pipeline does
+    ranges = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in T.MATH_RANGES)
+    formula = f"length(line) > 0 AND length(regexp_replace(line, '[^{ranges}]', '', 'g'))::DOUBLE / greatest(length(line), 1) >= 0.15::DOUBLE"
+    pipeline_sql = f"""{BOXED}, formulas AS (SELECT * REPLACE (CASE WHEN line_no % 9 = 4 THEN '∑x ∫y ∂z' ELSE line END AS line) FROM layout),
+      kept AS (SELECT *, {formula} AS is_math FROM formulas WHERE NOT (y0 < 792.0::DOUBLE * 0.05::DOUBLE OR y1 > 792.0::DOUBLE * 0.95::DOUBLE) AND length(trim(line)) > 0), {order_ctes('kept')},
+      o AS (SELECT kept.* REPLACE (reading_pos AS line_no) FROM kept JOIN placed_blocks ON kept.doc_id = placed_blocks.doc_id AND kept.page_no = placed_blocks.page_no AND kept.line_no = block_no),
+      u AS (SELECT *, sum(CASE WHEN is_math THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS t FROM o),
+      v AS (SELECT *, CASE WHEN is_math THEN -t ELSE t END AS turn FROM u), {hyphen_ctes('v', 'doc_id, page_no, turn')},
+      joined AS (SELECT doc_id, page_no, min(line_no) AS line_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_min(fontsize, line_no) AS fontsize, {CHAIN_SQL} AS line, arg_min(is_math, line_no) AS is_math FROM chains GROUP BY doc_id, page_no, turn, chain)
+      {CLUSTER_SQL.replace("FROM layout", "FROM joined")},
+      q AS (SELECT *, bool_and(is_math) OVER (PARTITION BY doc_id, page_no, para_no) AS whole_math FROM clustered),
+      y AS (SELECT doc_id, page_no, para_no, any_value(whole_math) AS whole_math, string_agg(CASE WHEN is_math AND NOT whole_math THEN '▨' ELSE trim(line) END, ' ' ORDER BY line_no) AS whole FROM q GROUP BY ALL),
+      r AS (SELECT doc_id, whole_math, {REST_SQL.format('whole')} AS text FROM y)
+      SELECT doc_id, count(*) AS processed, count_if(whole_math)::BIGINT AS skipped_math, sum(length(text))::BIGINT AS n_chars, count_if(NOT whole_math AND length(trim(replace(text, '▨', ''))) = 0)::BIGINT AS pure_placeholder FROM r GROUP BY doc_id"""
+
+    def with_formulas(spark, folder):
+        found = views.layout(spark, folder)
+        return found.withColumn("line", F.when(F.col("line_no") % 9 == 4, F.lit("∑x ∫y ∂z")).otherwise(F.col("line")))
 
     @add("document_pipeline_counters", pipeline_sql)
     def document_pipeline_counters(spark, folder):
-        made = document_pipeline.run(views.layout(spark, folder), _cache(spark, folder), _mock, "ru", views.PAGE_HEIGHT)
-        blank = made.paragraphs.groupBy("doc_id").agg(F.count_if(F.trim("src") == "").alias("blank"))
-        return made.counters.join(blank, "doc_id", "left").select("doc_id", "processed", F.coalesce("blank", F.lit(0)).alias("blank"))
+        made = document_pipeline.run(with_formulas(spark, folder), _cache(spark, folder), _mock, "ru", views.PAGE_HEIGHT)
+        return made.counters.select("doc_id", "processed", "skipped_math", "n_chars", "pure_placeholder")
 
     @add("document_pipeline")
     def document_pipeline_report(spark, folder):

@@ -45,6 +45,73 @@ def test_masked_entities_never_reach_the_model(spark, folder):
     assert made.counters.first().masked == 2
 
 
+LINE = "doc_id long, page_no long, block_no long, line_no long, x0 double, y0 double, x1 double, y1 double, fontsize double, is_math boolean, line string"
+
+
+def _lines(spark, rows):
+    """(block, x, y, text, formula?) of one page, as lines."""
+    return spark.createDataFrame([(1, 0, b, i, x, y, x + 150.0, y + 11.0, 11.0, m, t) for i, (b, x, y, t, m) in enumerate(rows)], LINE)
+
+
+def test_page_goes_through_all_steps(spark, tmp_path):
+    """Columns, broken words, a formula in a paragraph, one on its own, LaTeX, a table, a language, by hand."""
+    rows = [
+        (0, 400.0, 100.0, "o'ng ustun matni", False), (1, 60.0, 100.0, "chap ustun so-", False), (1, 60.0, 112.0, "zlari bor", False), (1, 60.0, 124.0, "x = y + 1", True), (1, 60.0, 136.0, "va $a^2$ davom", False),
+        (2, 60.0, 300.0, "E = mc^2", True), (3, 60.0, 400.0, "jadval ichida", False), (4, 60.0, 500.0, "ru bu tarjima", False), (5, 60.0, 10.0, "sarlavha", False),
+    ]
+    cells = spark.createDataFrame([(1, 0, 0, 0, k, k, 50.0 + 100 * k, 390.0, 150.0 + 150 * k, 420.0, t) for k, t in enumerate(["katak bir", " "])], document_pipeline.CELLS)
+    sent = spark.sparkContext.accumulator(0)
+
+    def model(texts, source, target):
+        sent.add(len(texts))
+        return [f"<{t}>" for t in texts]
+
+    identify = lambda t: ("ru", 0.9) if t.startswith("ru ") else None
+    made = document_pipeline.run(_lines(spark, rows), spark.createDataFrame([], tables.CACHE), model, "ru", 792.0, cells=cells, identify=identify, cache_path=str(tmp_path / "cache"))
+    got = {r.src: (r.tgt, r.skip) for r in made.paragraphs.collect()}
+    assert got == {
+        "chap ustun sozlari bor x = y + 1 va $a^2$ davom": ("<chap ustun sozlari bor x = y + 1 va $a^2$ davom>", None), "oʻng ustun matni": ("<oʻng ustun matni>", None),
+        "E = mc^2": ("E = mc^2", "math"), "ru bu tarjima": ("ru bu tarjima", "language"),
+    }
+    assert {(r.cell_no, r.text, r.translation) for r in made.cells.collect()} == {(0, "katak bir", "<katak bir>"), (1, " ", " ")}
+    counters = made.counters.first()
+    assert (counters.processed, counters.skipped_math, counters.skipped_language, counters.cells, counters.pure_placeholder) == (4, 1, 1, 1, 0)
+    # the model ran once for all of that, and not for what is skipped
+    assert made.report.count() == 3 and made.commands.count() > 0 and sent.value == 3
+    again = document_pipeline.run(_lines(spark, rows), translate.open_cache(spark, next(str(p) for p in (tmp_path / "cache").iterdir())), model, "ru", 792.0, cells=cells, identify=identify)
+    assert again.paragraphs.count() == 4 and sent.value == 3
+
+
+def test_reading_order_of_columns(spark):
+    rows = [(0, 400.0, 100.0, "to'rt", False), (1, 60.0, 100.0, "bir", False), (2, 60.0, 200.0, "ikki", False), (3, 400.0, 60.0, "uch", False)]
+    made = document_pipeline.run(_lines(spark, rows), spark.createDataFrame([], tables.CACHE), lambda t, a, b: t, "ru", 792.0)
+    assert [r.src for r in made.paragraphs.orderBy("para_no").collect()] == ["bir", "ikki", "uch", "toʻrt"]
+
+
+def test_long_paragraphs_reach_the_model_in_chunks(spark):
+    text = " ".join(f"Gap {i} shu yerda tugaydi." for i in range(60))
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(texts, source, target):
+        for t in texts:
+            seen.add(1000 if len(t.split()) > 39 else 1)
+        return [f"<{t}>" for t in texts]
+
+    made = document_pipeline.run(_lines(spark, [(0, 60.0, 100.0, text, False)]), spark.createDataFrame([], tables.CACHE), model, "ru", 792.0, most=50)
+    row = made.paragraphs.collect()
+    # at most int(0.78 * 50) words, whole sentences
+    assert len(row) == 1 and row[0].tgt.replace("<", "").replace(">", "") == text
+    assert 1 < seen.value < 1000
+
+
+def test_paragraphs_keep_the_look_of_their_first_line(spark):
+    from pagemill.operators import layout
+
+    found = _lines(spark, [(0, 60.0, 100.0, "bir", False), (0, 60.0, 112.0, "ikki", True)]).selectExpr("*", "if(line = 'bir', 'Arial', 'Math') as font", "named_struct('dx', 1D, 'dy', 0D) as dir")
+    (row,) = layout.build_paragraphs(layout.cluster_lines(found)).collect()
+    assert (row.font, row.dir.dx, row.is_math, row.text, [s.original for s in row.math_spans]) == ("Arial", 1.0, False, "bir \ue001", ["ikki"])
+
+
 def test_empty_document_is_an_error_when_asked(spark):
     import pytest
 
