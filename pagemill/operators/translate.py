@@ -25,6 +25,27 @@ class ModelLoadError(EngineError):
     """A model could not be loaded."""
 
 
+#: Models that this process has loaded, by the name of their loader.
+_LOADED: dict[str, Callable[[list[str], str, str], list[str]]] = {}
+
+
+def loaded_once(load: Callable[[], Callable[[list[str], str, str], list[str]]]) -> Callable[[list[str], str, str], list[str]]:
+    """A model for ``run_model`` that each Python worker loads at its first text and then keeps; a failure is a ``ModelLoadError``."""
+    name = uuid.uuid4().hex
+
+    def translate(texts: list[str], source: str, target: str) -> list[str]:
+        from pagemill.operators import translate as own
+
+        if name not in own._LOADED:
+            try:
+                own._LOADED[name] = load()
+            except Exception as error:
+                raise ModelLoadError(f"the model could not be loaded: {error}") from error
+        return own._LOADED[name](texts, source, target)
+
+    return translate
+
+
 def mock_translation(text: Column, target: str) -> Column:
     """The deterministic stand-in: the target's code in brackets, and the text."""
     return F.concat(F.lit(f"[{T.LANGUAGE_CODES[target]}]"), text)
@@ -46,9 +67,11 @@ def misses(items: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
     return items.join(cache.select("key"), "key", "left_anti").groupBy("key").agg(F.min(text).alias(text))
 
 
-def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """The cache with new rows; of equal keys the new one counts."""
-    both = cache.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
+def upsert(cache: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The cache with new rows; of equal keys the new one counts, of several new ones that of the greatest ``order``, a column of ``new``."""
+    extra = F.lit(None).cast("string") if order is None else F.col(order)
+    both = cache.withColumn("_v", F.struct(F.lit(0).alias("new"), F.lit(None).cast(new.schema[order].dataType if order else "string").alias("at")))
+    both = both.unionByName(new.withColumn("_v", F.struct(F.lit(1).alias("new"), extra.alias("at"))).select(*cache.columns, "_v"))
     row = F.struct(*cache.columns)
     return both.groupBy("key").agg(F.max_by(row, F.struct("_v", "translated_text")).alias("r")).select("r.*")
 

@@ -58,6 +58,11 @@ def page_dicts(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
     return spark.read.schema(PAGE_DICTS).format(kind).load(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def pdf_pages(spark: SparkSession, path: str, parse) -> DataFrame:
     """Pages of PDF files; ``parse(bytes)`` yields (page_no, width, height, blocks).
 
@@ -66,6 +71,8 @@ def pdf_pages(spark: SparkSession, path: str, parse) -> DataFrame:
     """
     if not path.lower().endswith(".pdf") and "*" not in path and not path.endswith("/"):
         raise SourceError(f"not a PDF file: {path}")
+    if "*" not in path and not _exists(spark, path):
+        raise SourceError(f"no such file: {path}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
 
     def run(batches):
@@ -92,7 +99,6 @@ def report(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The translation cache at ``path``, or an empty one."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, path):
         return spark.createDataFrame([], CACHE)
     return spark.read.schema(CACHE).parquet(path)

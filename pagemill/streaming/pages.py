@@ -22,8 +22,10 @@ def run_available(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: beside the checkpoints if a place for them is set."""
+    """A folder that all executors see, beside the checkpoints; one of this machine only where all run in one process."""
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="pagemill-stream-")

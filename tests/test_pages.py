@@ -87,7 +87,7 @@ def test_lines_keep_words_and_width(words, width):
     lines = render.fill(words, width, 10.0)
     assert [w for ws, _ in lines for w in ws] == words
     assert all(used <= width or len(ws) == 1 for ws, used in lines)
-    assert render.count_lines([len(w) for w in words], width, 10.0) == len(lines)
+    assert render.count_lines([render.half(w, 10.0) for w in words], width, 10.0) == len(lines)
 
 
 def test_shrinking(spark):
@@ -126,3 +126,48 @@ def test_empty_output_is_an_error(spark):
     texts = spark.createDataFrame([("k", "a")], "key string, text string")
     with pytest.raises(Exception, match="empty translation"):
         translate.run_model(texts, lambda t, s, u: [""] * len(t), "uz", "ru").collect()
+
+
+def test_metric_and_justified_lines(spark):
+    """Widths by a metric of one's own; justified lines are spread to the box, but for the last."""
+    wide = lambda word, size: len(word) * size
+    assert [w for w, _ in render.fill(["aa", "bb", "cc"], 50.0, 10.0, wide)] == [["aa", "bb"], ["cc"]]
+    text = " ".join(["abcd"] * 14)
+    frame = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 200.0, 10.0, text, "Arial"), (2, 0.0, 0.0, 500.0, 9.0, 10.0, "x " * 400, "Times")], "k long, x0 double, y0 double, x1 double, y1 double, fontsize double, text string, font string")
+    rows = render.commands(frame, ["k"], keep=("font",)).filter("cmd = 'TEXT'").orderBy("k", "cmd_no").collect()
+    one = [r for r in rows if r.k == 1]
+    # four words and three spaces take 89 of 100 points
+    assert [round(r.word_space, 6) for r in one] == [round(11 / 3, 6)] * (len(one) - 1) + [0.0] and len(one) == 4 and not any(r.bled for r in one)
+    assert all(r.bled and r.font == "Times" and r.fontsize == 5.0 for r in rows if r.k == 2)
+
+
+def test_models_are_loaded_once_and_failures_named(spark, tmp_path):
+    note = str(tmp_path / "loads")
+
+    def load():
+        with open(note, "a") as out:
+            out.write("x")
+        return lambda texts, source, target: [t.upper() for t in texts]
+
+    texts = spark.createDataFrame([(str(i), f"t{i}") for i in range(40)], "key string, text string").repartition(1)
+    model = translate.loaded_once(load)
+    for _ in range(2):
+        assert translate.run_model(texts, model, "uz", "ru").filter("translated_text = 'T7'").count() == 1
+    assert len(open(note).read()) <= 2  # one for each worker process
+
+    def broken():
+        raise OSError("no weights")
+
+    with pytest.raises(Exception, match="could not be loaded: no weights"):
+        translate.run_model(texts, translate.loaded_once(broken), "uz", "ru").collect()
+
+
+def test_newest_row_of_the_cache_counts(spark):
+    new = spark.createDataFrame([("a", "z", 1, None, 1), ("a", "b", 1, None, 2)], tables.CACHE + ", at int")
+    assert [r.translated_text for r in translate.upsert(spark.createDataFrame([("a", "zz", 1, None)], tables.CACHE), new, "at").collect()] == ["b"]
+
+
+def test_missing_pdf_is_named(spark, tmp_path):
+    for path in (str(tmp_path / "none.pdf"), str(tmp_path / "note.txt")):
+        with pytest.raises(tables.SourceError):
+            tables.pdf_pages(spark, path, lambda data: [])
