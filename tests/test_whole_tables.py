@@ -106,3 +106,24 @@ def test_keys_are_of_the_normal_form(spark, tmp_path):
     assert made == {i: (True, f"[rus_Cyrl]{t}") for i, t in enumerate(texts)}
     for name in ("flagship_report", "streaming_pages"):
         assert [r.n_keys for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == [4]
+
+
+def test_dictionary_and_usage_of_all_documents(spark, whole, lines):
+    """The entities of each document, found by the patterns one after the other, and how many placeholders they take."""
+    from pagemill.operators import masking
+
+    found = {}
+    for (doc, _), text in sorted(lines.items()):
+        own = found.setdefault(doc, set())
+        for pattern in masking.entity_patterns("uz"):
+            hits = [m for m in re.findall(pattern, text) if "" not in m]
+            own.update(hits)
+            text = re.sub(pattern, lambda m: m[0] if "" in m[0] else "", text)
+    got = {}
+    for r in catalog.QUERIES["ner_dictionary"](spark, whole).collect():
+        got.setdefault(r.doc_id, {})[r.original] = r.placeholder
+    assert {d: set(o) for d, o in got.items()} == {d: o for d, o in found.items() if o}
+    # a placeholder stands for one text
+    assert all(len(set(o.values())) == len(o) and all(0xE800 <= ord(p) < 0xF000 for p in o.values()) for o in got.values())
+    used = {r.doc_id: (r.allocated, r.capacity, r.exhausted) for r in catalog.QUERIES["placeholder_usage"](spark, whole).collect()}
+    assert used == {d: (len(o), 2048, False) for d, o in found.items() if o}
