@@ -12,6 +12,12 @@ def stream_files(spark: SparkSession, folder: str, schema, pattern: str) -> Data
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of part files."""
+    # a stream takes one file by a pattern only, since a plain path has to be a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
 def run_available(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Processes what there is, batch by batch, and stops. A batch that is run again overwrites its own folder."""
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill import __main__ as cli
@@ -136,6 +137,18 @@ def test_stream_equals_batch_and_restarts(spark, folder, tmp_path):
     assert run() == want + tables.lines(docs.limit(3)).count()
 
 
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_stream_of_a_table_of_one_or_many_files(spark, folder, tmp_path, as_folder):
+    from pagemill.plans import catalog
+
+    where = folder
+    if as_folder:
+        where = str(tmp_path)
+        views.documents(spark, folder).repartition(3).write.parquet(f"{where}/documents.parquet")
+    got, want = ({tuple(r) for r in catalog.QUERIES[name](spark, where).collect()} for name in ("streaming_pages", "flagship_report"))
+    assert got == want and len(got) == 4
+
+
 def test_cache_versions_do_not_disturb_each_other(spark, tmp_path):
     row = lambda k, t: spark.createDataFrame([(k, t, 1, None)], tables.CACHE)
     first = translate.write_cache(row("a", "x"), str(tmp_path))
