@@ -203,3 +203,19 @@ def test_size_estimates_stay_small_in_a_loop_of_joins(spark):
         chain = cut(chain.join(up.hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
         assert size(chain) < 1 << 63
     assert {(r.node, r.to) for r in chain.collect()} == {(n, 0) for n in range(500)}
+
+
+def test_near_dedup_keeps_no_size_estimate_beyond_a_long(spark, docs, monkeypatch):
+    """Nothing that is cut on the way multiplies its estimate into the next joins."""
+    seen, plain = [], op09_near.cut
+
+    def watched(df):
+        out = plain(df)
+        seen.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return out
+
+    monkeypatch.setattr(links, "LAST", 0)
+    for module in (links, op09_near):
+        monkeypatch.setattr(module, "cut", watched)
+    assert op09_near.near_dedup(docs).count() > 0
+    assert len(seen) > 8 and max(seen) < 1 << 63
