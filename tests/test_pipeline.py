@@ -154,3 +154,9 @@ def test_cache_versions_do_not_disturb_each_other(spark, tmp_path):
     first = translate.write_cache(row("a", "x"), str(tmp_path))
     second = translate.write_cache(translate.upsert(translate.open_cache(spark, first), row("a", "y")), str(tmp_path))
     assert [r.translated_text for p in (first, second) for r in translate.open_cache(spark, p).collect()] == ["x", "y"]
+
+
+def test_commands_are_made_without_a_pandas_group_for_each_document(spark, folder):
+    from pagemill.plans import catalog
+
+    assert "FlatMapGroupsInPandas" not in catalog.QUERIES["document_commands"](spark, folder)._jdf.queryExecution().toString()
