@@ -13,6 +13,8 @@ few after it give single documents, so that the words taken come near the target
 Per-source rows, ranges of a source's blocks and one array of quotas for each tree
 node are all that meets in one place; documents never shuffle for the decision
 (only a broadcast or shuffled join on the block), and a hot source is many blocks.
+Blocks grow with the corpus beyond some ``MOST_BLOCKS``, so the table of drawn blocks has
+a bound; texts find their places in it where they lie and shuffle once, to their shards.
 
 Nulls: a null source is a source of its own, a null text has size 0, a null id is
 kept. Texts of size 0 are taken only with a whole block. A very long text makes its
@@ -35,12 +37,16 @@ from pagemill.llm.common import HIDE, cut, table
 SEED = 20240229
 #: Words that a block should hold, and the most documents.
 BLOCK_WORDS, BLOCK_DOCS = 8192, 512
+#: Blocks of this size that a corpus has (twice as many by words and documents together); with more, blocks are larger.
+MOST_BLOCKS = 1 << 17
 #: Blocks that one task orders, blocks after the last whole one that give single documents, and rounds over those.
 RANGE_ROWS, SPARE, ROUNDS = 1 << 14, 8, 4
 #: Equal rows that one task numbers.
 CHUNK = 1 << 16
 #: Rows of the table of sources up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
+#: Rows up to which drawn blocks, single documents and repeated rows are broadcast; beyond, texts join by a shuffle.
+PLACED_ROWS = 1 << 19
 #: Shards at least, and blocks that a shard should hold.
 SHARDS, SHARD_BLOCKS = 64, 4096
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -179,7 +185,7 @@ def _running(rows: DataFrame, key: list[str], count: str, sums: dict[str, str],
     return out.drop("__pm_range", *(f"__pm_before_{v}" for v in sums))
 
 
-def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None, seed: int = SEED, block_words: int = BLOCK_WORDS, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
+def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None, seed: int = SEED, block_words: int = BLOCK_WORDS, block_docs: int = BLOCK_DOCS, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """From (key, source, size) rows: those rows with their block, and for each block and epoch what is drawn of it.
 
     A drawn row has (block, epoch, shard, room): room is null for a whole block, else
@@ -193,15 +199,17 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     sources = sources.withColumn("__pm_rank", F.row_number().over(by_source).cast("long") - 1)
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("__pm_rank") % n + 1).cast("int"))
     sources = targets(sources.withColumn("weight", weight), share, most)
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words), F.ceil(F.col("docs") / block_docs))
-    sources = cut(sources.withColumn("n_blocks", n_blocks.cast("long")))
-    known = sources.agg(F.count("*"), F.sum("n_blocks")).first()
-    shards = shards or max(SHARDS, -(-(known[1] or 0) // SHARD_BLOCKS))
+    n_blocks = lambda words, docs: F.greatest(F.lit(1), F.ceil(F.col("source_size") / words), F.ceil(F.col("docs") / docs)).cast("long")
+    each = lambda c, least: F.greatest(F.lit(least), F.ceil(F.sum(c).over(W.partitionBy()) / most_blocks))
+    sources = sources.withColumn("small", n_blocks(block_words, block_docs))
+    sources = cut(sources.withColumn("n_blocks", n_blocks(each("source_size", block_words), each("docs", block_docs))))
+    known = sources.agg(F.count("*"), F.sum("small"), F.sum("n_blocks")).first()
+    shards = shards or max(SHARDS, min(-(-(known[1] or 0) // SHARD_BLOCKS), known[2] or 0))
 
     side = sources.select(F.col("source").alias("__pm_source"), "source_size", "target", "n_blocks", "__pm_rank")
     side = F.broadcast(side) if known[0] <= BROADCAST_ROWS else side
     dealt = sized.join(side, sized["source"].eqNullSafe(side["__pm_source"]), "inner").drop("__pm_source")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("n_blocks")))
+    dealt = dealt.withColumn("block", _block(seed))
     blocks = dealt.groupBy("__pm_rank", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("n_blocks").alias("n_blocks"))
 
     # each epoch has a permutation of its own; running words say where the target is reached
@@ -232,6 +240,10 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     return dealt, placed.select("__pm_rank", "block", "epoch", "shard", "room")
 
 
+def _block(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("n_blocks"))
+
+
 def _picked(dealt: DataFrame, spare: DataFrame, seed: int) -> DataFrame:
     """(key, epoch): documents of partly drawn blocks whose words together come just below the room.
 
@@ -252,8 +264,8 @@ def _picked(dealt: DataFrame, spare: DataFrame, seed: int) -> DataFrame:
     return taken
 
 
-def mix(sized: DataFrame, **options) -> DataFrame:
-    """Rows of ``sized`` with source_size, target, taken and places (array of epoch, shard).
+def _drawn(sized: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of ``sized`` with their block, places of whole blocks (__pm_rank, block), and of single documents (__pm_key).
 
     Where the next block no longer fits, it and the blocks after it give single
     documents, passing over those that no longer fit, so a source's words end just
@@ -266,13 +278,23 @@ def mix(sized: DataFrame, **options) -> DataFrame:
     spare = placed.filter("room is not null")
     picked = _picked(dealt, spare.drop("shard"), options.get("seed", SEED))
     single = picked.join(dealt.select("key", "__pm_rank", "block"), "key", "inner").join(spare.drop("room"), ["__pm_rank", "block", "epoch"], "inner")
-    single = cut(single.groupBy(F.col("key").alias("__pm_key")).agg(F.collect_list(place).alias("single")))
+    return dealt, whole, cut(single.groupBy(F.col("key").alias("__pm_key")).agg(F.collect_list(place).alias("single")))
+
+
+def _places() -> Column:
+    none = F.array().cast("array<struct<epoch:int,shard:bigint>>")
+    return F.array_sort(F.concat(F.coalesce("blocks", none), F.coalesce("single", none)))
+
+
+def mix(sized: DataFrame, **options) -> DataFrame:
+    """Rows of ``sized`` with source_size, target, taken and places (array of epoch, shard)."""
+    return _placed(*_drawn(sized, **options)).select(*sized.columns, "source_size", "target", "taken", "places")
+
+
+def _placed(dealt: DataFrame, whole: DataFrame, single: DataFrame) -> DataFrame:
     # left joins keep every document: what is not drawn has no place
     joined = dealt.join(whole, ["__pm_rank", "block"], "left").join(single, dealt["key"] == single["__pm_key"], "left").drop("__pm_key")
-    none = F.array().cast("array<struct<epoch:int,shard:bigint>>")
-    out = joined.withColumn("places", F.array_sort(F.concat(F.coalesce("blocks", none), F.coalesce("single", none))))
-    out = out.withColumn("taken", (F.size("places") * F.col("size")).cast("long"))
-    return out.select(*sized.columns, "source_size", "target", "taken", "places")
+    return joined.withColumn("places", _places()).withColumn("taken", (F.size("places") * F.col("size")).cast("long"))
 
 
 def _row_hash(docs: DataFrame) -> Column:
@@ -293,23 +315,42 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     many = many.repartition("row", "chunk").withColumn("copy", F.explode(F.transform(upto(F.least(F.lit(CHUNK).cast("long"), F.col("copies") - F.col("chunk") * CHUNK)), lambda i: F.col("chunk") * CHUNK + i)))
     names = ["doc_id", "source", "size", "row", "copies", "copy"]
     rows = few.select(*names).unionByName(many.select(*names))
-    return cut(rows.withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "source", "size", "row", "copy")).drop("copy"))
+    return cut(rows.withColumn("key", _key(F.col("copy"))).drop("copy"))
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def _key(copy: Column) -> Column:
+    return F.xxhash64(F.lit(SEED), "doc_id", "source", "size", "row", copy.cast("long"))
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", placed_rows: int = PLACED_ROWS, **options) -> DataFrame:
     """The mixed table: every column of ``docs``, a row for each time it is taken, with epoch, shard and its order there.
 
     Each of several equal rows is taken as often as its own key says.
     """
     seed = options.get("seed", SEED)
-    drawn = mix(sized(docs, id_col, text, source), **options).filter(F.size("places") > 0).select("row", "copies", "key", F.explode("places").alias("place"))
-    place = F.col("place")
-    order = F.xxhash64(F.lit(seed + 2), place["epoch"], "key")
-    drawn = cut(drawn.select(F.col("row").alias(HIDE + "of"), "copies", place["epoch"].alias(HIDE + "epoch"), place["shard"].alias(HIDE + "shard"), order.alias(HIDE + "order")))
+    narrow = sized(docs, id_col, text, source)
+    dealt, whole, single = _drawn(narrow, **options)
+    whole = cut(whole)
+    sources = cut(dealt.select("source", "__pm_rank", "n_blocks").distinct())
+    several = cut(narrow.filter("copies > 1").select("row").distinct())
     extra = [HIDE + "epoch", HIDE + "shard", HIDE + "order"]
+    place = F.col("place")
+    at = lambda key: (place["epoch"].alias(extra[0]), place["shard"].alias(extra[1]), F.xxhash64(F.lit(seed + 2), place["epoch"], key).alias(extra[2]))
+    small = sources.count() <= BROADCAST_ROWS and max(t.count() for t in (whole, single, several)) <= placed_rows
+    drawn = _placed(dealt.filter("copies > 1") if small else dealt, whole, single)
+    drawn = cut(drawn.select("row", "copies", "key", F.explode("places").alias("place")).select(F.col("row").alias(HIDE + "of"), "copies", *at(F.col("key"))))
     keyed = docs.withColumn(HIDE + "row", _row_hash(docs))
     take = lambda rows, of: rows.join(of.drop("copies"), rows[HIDE + "row"] == of[HIDE + "of"], "inner").select(*docs.columns, *extra)
-    once = take(keyed, drawn.filter("copies = 1"))
+    if small:
+        # texts stay where they are: their key names their block, and the table of blocks comes to them
+        own = keyed.join(F.broadcast(several.withColumnRenamed("row", HIDE + "several")), F.col(HIDE + "row") == F.col(HIDE + "several"), "left_anti")
+        own = own.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(HIDE + "row").alias("row"))
+        own = own.select("doc", F.col("source").alias("of"), _key(F.lit(0)).alias("key"))
+        own = own.join(F.broadcast(sources), F.col("of").eqNullSafe(F.col("source")), "inner").withColumn("block", _block(seed))
+        own = own.join(F.broadcast(whole), ["__pm_rank", "block"], "left").join(F.broadcast(single), F.col("key") == F.col("__pm_key"), "left")
+        once = own.select("doc", "key", F.explode(_places()).alias("place")).select("doc.*", *at(F.col("key")))
+    else:
+        once = take(keyed, drawn.filter("copies = 1"))
     again = drawn.filter("copies > 1")
     if again.isEmpty():
         return once

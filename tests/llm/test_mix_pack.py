@@ -223,3 +223,22 @@ def test_packing_awkward_rows(spark, docs, empty):
     assert op05_packing.pack_documents(empty).count() == 0
     ids = op05_packing.pack_documents(unique, size=64, keep_ids=True).first()
     assert len(ids.ids) == ids.length
+
+
+def test_mixed_texts_do_not_shuffle_to_their_draws(spark):
+    rows = [(None if i % 97 == 0 else i, " ".join(["w"] * (i % 50)), None if i % 7 == 0 else "ab"[i % 2], i) for i in range(3000)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, source string, block int")
+    twice = once.unionByName(once.filter("block < 40"))
+    shown = lambda frame, **options: sorted(map(str, op01_mixing.mix_rows(frame, block_words=500, **options).collect()))
+    got = shown(twice)
+    assert len(got) > 3000 and got == shown(twice.repartition(5), placed_rows=0)
+    assert "hashpartitioning" not in op01_mixing.mix_rows(once, block_words=500)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_number_of_blocks_has_a_bound(spark):
+    rows = [(i, " ".join(["w"] * 40), "abc"[i % 3]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, placed = op01_mixing.plan(op01_mixing.sized(frame), block_words=100, most_blocks=50)
+    assert 20 < got.select("__pm_rank", "block").distinct().count() <= 103
+    words = sum(r.taken for r in mixed(frame, block_words=100, most_blocks=50))
+    assert 0 <= 1.5 * 120_000 - words <= 3 * 40
